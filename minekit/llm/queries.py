@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import mixing, ordermin, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +18,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash fingerprints of every text and of its edited text."""
+    return ordermin.fingerprint_documents(_docs(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 5, 2, 1 over 150 % of all words."""
     return mixing.mix_sources(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op5_sharding": op5_sharding, "op9_mixing": op9_mixing}
+QUERIES = {"op5_sharding": op5_sharding, "op8_order_minhash": op8_order_minhash, "op9_mixing": op9_mixing}
 ORACLE = {"op9_mixing": mixing.ORACLE_SQL}
