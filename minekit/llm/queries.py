@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ordermin, sharding
+from . import mainarticle, mixing, ordermin, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,5 +28,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op5_sharding": op5_sharding, "op8_order_minhash": op8_order_minhash, "op9_mixing": op9_mixing}
+def op10_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return mainarticle.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {"op5_sharding": op5_sharding, "op8_order_minhash": op8_order_minhash, "op9_mixing": op9_mixing, "op10_line_blocks": op10_line_blocks}
 ORACLE = {"op9_mixing": mixing.ORACLE_SQL}
