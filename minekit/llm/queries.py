@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mainarticle, mixing, ordermin, sharding
+from . import langzip, mainarticle, mixing, mpegaudio, ordermin, sharding
+from .common import fold
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored in MPEG audio frames, read back and described."""
+    return mpegaudio.digest_documents(_docs(spark, sf_dir))
+
+
+def op4_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learnt from two folds of three."""
+    docs = _docs(spark, sf_dir).withColumn("held_out", fold("doc_id", 3) == 1)
+    dictionaries = langzip.fit(docs.where("not held_out"))
+    return langzip.classify(docs.select("doc_id", "held_out", "text"), dictionaries).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     out = sharding.shard_documents(_docs(spark, sf_dir), shards=24)
@@ -33,5 +46,5 @@ def op10_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainarticle.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {"op5_sharding": op5_sharding, "op8_order_minhash": op8_order_minhash, "op9_mixing": op9_mixing, "op10_line_blocks": op10_line_blocks}
+QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op4_compression": op4_compression, "op5_sharding": op5_sharding, "op8_order_minhash": op8_order_minhash, "op9_mixing": op9_mixing, "op10_line_blocks": op10_line_blocks}
 ORACLE = {"op9_mixing": mixing.ORACLE_SQL}
