@@ -1,7 +1,8 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
 Each language has a raw-content zstandard dictionary, cut from a bounded sample of its training
-texts. A text is compressed whole once per language. The smallest form names the language;
+texts. A text is folded (lower case, one space for each run of anything but letters) and
+compressed whole once per language. The smallest form names the language;
 if the runner-up is nearly as small, the decision is rejected.
 """
 
@@ -19,7 +20,12 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS, DICT_BYTES, MOST_LANGUAGES, LEVEL = 96, 112_640, 256, 3
 #: A decision is rejected if the runner-up is larger by less than this share of its own size.
 MIN_MARGIN = 0.005
-_LETTER = re.compile(r"[^\W\d_]")
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def folded(text: str) -> str:
+    """The letters of a text in lower case, words parted by one space; empty if there is no letter."""
+    return _OTHER.sub(" ", text.lower()).strip()
 
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
@@ -40,11 +46,11 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample
     drawn = train.withColumn("draw", draw).where(F.col("draw") < F.try_element_at(rate, F.col("lang"))).select("lang", "draw", F.substring("text", 1, piece).alias("text")).dropDuplicates(["lang", "text"])
     texts: dict[str, list[bytes]] = {}
     for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["draw"], r["text"])):
-        texts.setdefault(r["lang"], []).append(r["text"].encode())
+        texts.setdefault(r["lang"], []).append(folded(r["text"]).encode())
     out = {}
     for lang, own in texts.items():
         share = max(512, dict_bytes // len(own))
-        out[lang] = b"\n".join(x[:share] for x in own)[-dict_bytes:]
+        out[lang] = b" ".join(x[:share] for x in own)[-dict_bytes:]
     return dict(sorted(out.items()))
 
 
@@ -61,9 +67,9 @@ class Classifier:
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """(language or und, score, margin): margin is how much smaller the best form is than the runner-up, relative to the latter."""
-        if not text or not self.names or not _LETTER.search(text):
+        data = folded(text).encode() if text and self.names else b""
+        if not data:
             return "und", 0.0, 0.0
-        data = text.encode()
         sizes = sorted((len(c.compress(data)), name) for name, c in zip(self.names, self.compressors, strict=True))
         if len(sizes) == 1:
             return sizes[0][1], 1.0, 1.0
