@@ -16,8 +16,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Training documents drawn per language (expected), bytes of a dictionary, most languages, level of compression.
-SAMPLE_DOCS, DICT_BYTES, MOST_LANGUAGES, LEVEL = 96, 112_640, 256, 3
+#: Training documents drawn per language (expected), bytes of a dictionary, most languages.
+SAMPLE_DOCS, DICT_BYTES, MOST_LANGUAGES = 96, 112_640, 256
+#: Level of compression, and the level for folded texts of no more than SHORT bytes.
+LEVEL, SHORT_LEVEL, SHORT = 9, 12, 2048
 #: A decision is rejected if the runner-up is larger by less than this share of its own size.
 MIN_MARGIN = 0.005
 _OTHER = re.compile(r"[\W\d_]+")
@@ -57,20 +59,25 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample
 class Classifier:
     """Compressors of every language, built once per Python worker and batch stream."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL) -> None:
+    def __init__(self, dictionaries: dict[str, bytes]) -> None:
         self.names = list(dictionaries)
-        self.compressors = []
+        self.long, self.short = self._compressors(dictionaries, LEVEL), self._compressors(dictionaries, SHORT_LEVEL)
+
+    @staticmethod
+    def _compressors(dictionaries: dict[str, bytes], level: int) -> list[zstandard.ZstdCompressor]:
+        out = []
         for content in dictionaries.values():
             data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             data.precompute_compress(level=level)
-            self.compressors.append(zstandard.ZstdCompressor(level=level, dict_data=data, write_checksum=False, write_content_size=False, write_dict_id=False))
+            out.append(zstandard.ZstdCompressor(level=level, dict_data=data, write_checksum=False, write_content_size=False, write_dict_id=False))
+        return out
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """(language or und, score, margin): margin is how much smaller the best form is than the runner-up, relative to the latter."""
         data = folded(text).encode() if text and self.names else b""
         if not data:
             return "und", 0.0, 0.0
-        sizes = sorted((len(c.compress(data)), name) for name, c in zip(self.names, self.compressors, strict=True))
+        sizes = sorted((len(c.compress(data)), name) for name, c in zip(self.names, self.short if len(data) <= SHORT else self.long, strict=True))
         if len(sizes) == 1:
             return sizes[0][1], 1.0, 1.0
         margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
