@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langzip, mainarticle, mixing, mpegaudio, ordermin, sharding
+from . import langzip, mainarticle, mixing, mpegaudio, ordermin, sharding, toxicity
 from .common import fold
 
 
@@ -18,6 +18,24 @@ def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegaudio.digest_documents(_docs(spark, sf_dir))
 
 
+def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(text, toxic) of the labelled documents that may teach: remainder of crc32 by 5 not 0.
+
+    The labelled ids are sampled before the join, so that the side sent to every task is bounded.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col("toxic").isin(0, 1) & (fold("doc_id", 5) != 0)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    n = labels.count()
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("labels")), F.lit(2**53)) / F.lit(float(2**53))
+    return docs.select("doc_id", "text").join(F.broadcast(labels.where(draw < toxicity.SAMPLE_ROWS / max(1, n))), "doc_id").select("text", "toxic")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learnt from four folds of five of the labels."""
+    docs = _docs(spark, sf_dir)
+    model = toxicity.fit(labelled(spark, docs, sf_dir))
+    return toxicity.score(docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
 def op4_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learnt from two folds of three."""
     docs = _docs(spark, sf_dir).withColumn("held_out", fold("doc_id", 3) == 1)
@@ -46,5 +64,5 @@ def op10_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainarticle.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op4_compression": op4_compression, "op5_sharding": op5_sharding, "op8_order_minhash": op8_order_minhash, "op9_mixing": op9_mixing, "op10_line_blocks": op10_line_blocks}
+QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op2_toxicity": op2_toxicity, "op4_compression": op4_compression, "op5_sharding": op5_sharding, "op8_order_minhash": op8_order_minhash, "op9_mixing": op9_mixing, "op10_line_blocks": op10_line_blocks}
 ORACLE = {"op9_mixing": mixing.ORACLE_SQL}
