@@ -5,7 +5,7 @@ numbered by occurrence, and a hash of (k-mer, occurrence) gives each a bin and a
 bin takes its `take` least numbered k-mers, puts them back into text order and hashes the
 tuple: one slot of the fingerprint. Two texts agree in a slot if the same k-mers, in the same
 order, are least in it, so likeness falls with edits and with moved pieces alike. All of it is
-one projection over arrays: nothing is exploded or shuffled.
+projections over arrays: nothing is exploded or shuffled.
 """
 
 from __future__ import annotations
@@ -13,57 +13,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, written
+from .common import shuffle_parts
 
 
-def fingerprint(text: Column, bins: int = 64, k: int = 3, take: int = 2) -> Column:
-    """array<long> of bins slots, each 32 bits or null where no k-mer fell into the bin.
+#: Bits of a packed k-mer that hold its position: texts of up to 16 million words are told apart.
+POSITION = 24
 
-    Empty and null texts have nulls only. Words are split at ASCII white space.
-    """
-    flat = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))
-    return F.transform(F.array(flat), lambda t: _of_words(F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(t, " +")), bins, k, take))[0]
-
-
-def _of_words(words: Column, bins: int, k: int, take: int) -> Column:
-    def let(value: Column, body) -> Column:
-        """body(value), with value computed once."""
-        return F.transform(F.array(value), body)[0]
-
-    def of(w: Column) -> Column:
-        n = F.size(w)
-        many = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
-        kmers = F.when(n >= k, many).when(n > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
-        by_kmer = F.sort_array(let(kmers, lambda h: F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p")))))
-        return let(by_kmer, ranked)
-
-    def ranked(s: Column) -> Column:
-        return let(F.transform(s, lambda x: x["h"]), lambda hs: numbered(s, hs))
-
-    def numbered(s: Column, hs: Column) -> Column:
-        """(bin, rank, position) of each numbered k-mer; the search runs for repeated k-mers only."""
-
-        def one(x: Column, i: Column) -> Column:
-            repeated = (i > 0) & (F.get(hs, i - 1) == x["h"])
-            key = F.when(repeated, F.xxhash64(x["h"], (i - F.array_position(hs, x["h"]).cast("int") + 1))).otherwise(x["h"])
-            return F.struct(F.pmod(key, F.lit(bins)).cast("int").alias("b"), F.xxhash64(key).alias("r"), x["p"].alias("p"), x["h"].alias("h"))
 
-        return let(F.sort_array(F.transform(s, one)), slots)
+def with_fingerprint(df: DataFrame, text_col: str, out_col: str, bins: int = 64, k: int = 3, take: int = 2) -> DataFrame:
+    """df with out_col, an array<int> of bins slots (bins <= 64, k >= 2), null where no k-mer fell into the bin.
 
-    def slots(z: Column) -> Column:
-        # the first `take` of each bin, then the first of each bin with those that follow it
-        least = F.filter(z, lambda x, i: (i < take) | (F.get(z, i - take)["b"] != x["b"]))
-        return let(least, lambda y: let(F.map_from_entries(heads(y)), lambda m: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.try_element_at(m, b))))
-
-    def heads(y: Column) -> Column:
-        def tuple_hash(x: Column, i: Column) -> Column:
-            own = F.sort_array(F.array(*[F.when(F.get(y, i + j)["b"] == x["b"], F.struct(F.get(y, i + j)["p"].alias("p"), F.get(y, i + j)["h"].alias("h"))) for j in range(take)]))
-            return F.struct(x["b"], F.xxhash64(F.transform(F.filter(own, lambda e: e.isNotNull()), lambda e: e["h"])).bitwiseAND(0xFFFFFFFF))
-
-        first = F.transform(y, lambda x, i: F.when((i == 0) | (F.get(y, i - 1)["b"] != x["b"]), tuple_hash(x, i)))
-        return F.filter(first, lambda e: e.isNotNull())
-
-    return let(words, of)
+    Empty and null texts have nulls only. Words are split at ASCII white space. Each step is a
+    column of its own, so that arrays of longs are sorted by generated code. Every step is read
+    at least twice by the next one, which keeps the optimizer from repeating it inside a lambda.
+    """
+    words, packed, least = f"_{out_col}_words", f"_{out_col}_packed", f"_{out_col}_least"
+    low = 2**POSITION - 1
+    flat = F.trim(F.translate(F.coalesce(F.col(text_col), F.lit("")), "\t\n\x0b\x0c\r", "     "))
+    df = df.withColumn(words, F.when(F.length(flat) == 0, F.array().cast("array<string>")).otherwise(F.split(flat, " +")))
+    w, n = F.col(words), F.size(words)
+    pack = lambda h, i: h.bitwiseAND(~low).bitwiseOR(i.cast("long").bitwiseAND(low))
+    many = F.transform(F.sequence(F.lit(0), n - k), lambda i: pack(F.xxhash64(*[F.get(w, i + j) for j in range(k)]), i))
+    df = df.withColumn(packed, F.sort_array(F.when(n >= k, many).when(n > 0, F.array(pack(F.xxhash64(F.array_join(w, " ")), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))))
+    s = F.col(packed)
+    # equal k-mers now lie together in text order; their number is searched for repeated ones only
+    df = df.withColumn(f"{packed}_h", F.transform(s, lambda x: F.shiftright(x, POSITION)))
+    h = F.col(f"{packed}_h")
+
+    def numbered(x: Column, i: Column) -> Column:
+        own = F.shiftright(x, POSITION)
+        again = (i > 0) & (F.get(h, i - 1) == own)
+        return pack(F.when(again, F.xxhash64(own, i + 1 - F.array_position(h, own).cast("int"))).otherwise(F.xxhash64(own)), x)
+
+    df = df.withColumn(f"{packed}_z", F.sort_array(F.transform(s, numbered)))
+    z = F.col(f"{packed}_z")
+    shift = 64 - (bins - 1).bit_length()  # the bin is the hash's top bits
+    bin_of = lambda x: F.shiftright(x, shift)
+    df = df.withColumn(least, F.filter(z, lambda x, i: (i < take) | (bin_of(F.get(z, i - take)) != bin_of(x))))
+    y = F.col(least)
+
+    def slot(x: Column, i: Column) -> Column:
+        own = F.sort_array(F.array(*[F.when(bin_of(F.get(y, i + j)) == bin_of(x), F.struct(F.get(y, i + j).bitwiseAND(low).alias("p"), F.shiftright(F.get(y, i + j), POSITION).alias("h"))) for j in range(take)]))
+        return F.when((i == 0) | (bin_of(F.get(y, i - 1)) != bin_of(x)), F.struct(bin_of(x).cast("int").alias("b"), F.xxhash64(F.transform(F.filter(own, lambda e: e.isNotNull()), lambda e: e["h"])).alias("v")))
+
+    df = df.withColumn(f"{least}_m", F.map_from_entries(F.filter(F.transform(y, slot), lambda e: e.isNotNull())))
+    first = -(bins // 2)
+    m = F.col(f"{least}_m")
+    value = lambda b: F.when(F.map_contains_key(m, b + first), F.shiftright(F.element_at(m, b + first), 32).cast("int"))
+    df = df.withColumn(out_col, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), value))
+    return df.drop(words, packed, f"{packed}_h", f"{packed}_z", least, f"{least}_m")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -75,32 +73,41 @@ def likeness(a: Column, b: Column) -> Column:
 
 def as_text(slots: Column) -> Column:
     """8 hexadecimal digits a slot, dots for an empty one."""
-    return F.array_join(F.transform(slots, lambda x: F.coalesce(F.lpad(F.lower(F.hex(x)), 8, "0"), F.lit("........"))), "")
+    return F.array_join(F.transform(slots, lambda x: F.coalesce(F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF))), 8, "0"), F.lit("........"))), "")
 
 
-def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
-    """docs, with next: a struct of the given columns of the row with the next smaller id (of the smallest: the largest; ties in any fixed order of the columns, null ids last).
+def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", parts: int | None = None) -> DataFrame:
+    """docs, with _next: a struct of the given columns of the row with the next smaller id.
 
-    Ranges of ids cut at approximate quantiles are sorted by themselves; only the first row of
-    each range goes to the row before it in another range. One shuffle carries the columns.
+    After the smallest id comes the largest; rows of equal ids come in falling order of the
+    columns, null ids last. Ranges of ids, cut at approximate quantiles, are sorted by
+    themselves. The last row of each range gets the first row of another: one row per range is
+    sent to all tasks, so a bounded number of rows. One shuffle carries the columns.
     """
-    parts = max(2, min(1000, shuffle_parts(docs.sparkSession)))
+    spark = docs.sparkSession
+    parts = parts or max(2, min(1000, shuffle_parts(spark)))
     cuts = docs.select(F.percentile_approx(id_col, [i / parts for i in range(1, parts)], 100 * parts).alias("cuts")).first()["cuts"] or []
     cuts = sorted(set(cuts))
-    search = F.lit(0)
-    if cuts:
 
-        def tree(lo: int, hi: int) -> Column:
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(F.col(id_col) < F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-        search = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(tree(0, len(cuts)))
-    rows = docs.withColumn("_range", search)
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(id_col) < F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    rows = docs.withColumn("_range", F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(tree(0, len(cuts))))
+    tops = {r["_range"]: r["top"] for r in rows.groupBy("_range").agg(F.max(id_col).alias("top")).collect()}
+    ranges = sorted(tops, reverse=True)
+    if not ranges:
+        return docs.withColumn("_next", F.struct(*columns))
+    after = dict(zip(ranges, ranges[1:] + ranges[:1], strict=True))
     order = Window.partitionBy("_range").orderBy(F.col(id_col).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in columns if c != id_col])
-    rows = rows.withColumn("_rank", F.row_number().over(order)).withColumn("_next", F.lead(F.struct(*columns)).over(order))
-    return rows
+    first = rows.where(F.col(id_col).isin([t for t in tops.values() if t is not None]) | F.col(id_col).isNull())
+    first = first.withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    before = F.create_map(*[F.lit(x) for low, high in ((v, k) for k, v in after.items()) for x in (low, high)])
+    first = first.select(F.element_at(before, F.col("_range")).alias("_range"), F.struct(*columns).alias("_first"))
+    linked = rows.withColumn("_lead", F.lead(F.struct(*columns)).over(order)).join(F.broadcast(first), "_range")
+    return linked.withColumn("_next", F.coalesce("_lead", "_first")).drop("_range", "_lead", "_first")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = 64, k: int = 3, take: int = 2) -> DataFrame:
@@ -108,27 +115,18 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     The edited text replaces the last floor(n_chars / 2) code points by the first as many (or all)
     of the next document in descending order of ids (after the last: the first). A null text counts
-    as empty; of a single document the next is itself; equal ids come in order of their texts. An
-    empty table gives an empty result. Other columns of docs are not read.
+    as empty; of a single document the next is itself; equal ids come in falling order of their
+    texts. An empty table gives an empty result. Other columns of docs are not read.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("slots", fingerprint(F.col("text"), bins, k, take))
-    linked = written(with_next(base, ["id", "text", "slots"], "id"), "omh-next")
-    # the last row of each range lacks its next: it is the first row of the range below, or of the highest
-    ends = linked.where(F.col("_rank") == 1).select(F.col("_range").alias("lower"), F.struct("id", "text", "slots").alias("first"))
-    ranges = sorted((r["_range"] for r in linked.groupBy("_range").agg(F.max("_rank")).collect()), reverse=True)
-    after = dict(zip(ranges, ranges[1:] + ranges[:1], strict=True))
-    done = linked.where(F.col("_next").isNotNull()).select("id", "text", "slots", F.col("_next").alias("next"))
-    if after:
-        lower = F.element_at(F.create_map(*[F.lit(x) for pair in after.items() for x in pair]), F.col("_range"))
-        open_ends = linked.where(F.col("_next").isNull()).withColumn("lower", lower).join(ends, "lower").select("id", "text", "slots", F.col("first").alias("next"))
-        done = done.unionByName(open_ends)
+    linked = with_next(with_fingerprint(base, "text", "slots", bins, k, take), ["id", "text", "slots"], "id")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    done = done.select(
-        "id", "slots", F.col("next.slots").alias("next_slots"), n.cast("long").alias("n_chars"),
-        F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half)).alias("edited"),
-    ).withColumn("edited_slots", fingerprint(F.col("edited"), bins, k, take))
+    done = linked.select(
+        "id", "slots", F.col("_next.slots").alias("next_slots"), n.cast("long").alias("n_chars"),
+        F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("_next.text"), F.lit(1), half)).alias("edited"),
+    )
+    done = with_fingerprint(done, "edited", "edited_slots", bins, k, take)
     return done.select(
         F.col("id").alias(id_col),
         "n_chars",
