@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langzip, mainarticle, mixing, mpegaudio, ordermin, sharding, toxicity
+from . import langzip, mainarticle, mixing, mpegaudio, ordermin, pieces, sharding, toxicity
 from .common import fold
 
 
@@ -49,6 +49,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: Where the public vocabulary files lie; a parameter of the operator.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in pieces: the best segmentation's digest, the N best scores, the round trip."""
+    return pieces.digest_documents(_docs(spark, sf_dir), PIECE_MODEL)
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash fingerprints of every text and of its edited text."""
     return ordermin.fingerprint_documents(_docs(spark, sf_dir))
@@ -64,5 +73,5 @@ def op10_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainarticle.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op2_toxicity": op2_toxicity, "op4_compression": op4_compression, "op5_sharding": op5_sharding, "op8_order_minhash": op8_order_minhash, "op9_mixing": op9_mixing, "op10_line_blocks": op10_line_blocks}
+QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op2_toxicity": op2_toxicity, "op4_compression": op4_compression, "op5_sharding": op5_sharding, "op6_sentencepiece": op6_sentencepiece, "op8_order_minhash": op8_order_minhash, "op9_mixing": op9_mixing, "op10_line_blocks": op10_line_blocks}
 ORACLE = {"op9_mixing": mixing.ORACLE_SQL}
