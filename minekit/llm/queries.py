@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langzip, mainarticle, mixing, mpegaudio, ordermin, pieces, sharding, toxicity
+from . import langzip, mainarticle, mixing, mpegaudio, ngramlm, ordermin, pieces, sharding, toxicity
 from .common import fold
 
 
@@ -53,11 +53,21 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+#: Words in an n-gram of the language model.
+LM_ORDER = 2
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text in pieces: the best segmentation's digest, the N best scores, the round trip."""
     return pieces.digest_documents(_docs(spark, sf_dir), PIECE_MODEL)
 
 
+def op7_eliasfano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored by n-grams learnt from four folds of five."""
+    docs = _docs(spark, sf_dir).select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "text")
+    return ngramlm.score(docs, ngramlm.fit(docs.where("not held_out"), order=LM_ORDER))
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash fingerprints of every text and of its edited text."""
     return ordermin.fingerprint_documents(_docs(spark, sf_dir))
@@ -73,5 +83,5 @@ def op10_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainarticle.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op2_toxicity": op2_toxicity, "op4_compression": op4_compression, "op5_sharding": op5_sharding, "op6_sentencepiece": op6_sentencepiece, "op8_order_minhash": op8_order_minhash, "op9_mixing": op9_mixing, "op10_line_blocks": op10_line_blocks}
+QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op2_toxicity": op2_toxicity, "op4_compression": op4_compression, "op5_sharding": op5_sharding, "op6_sentencepiece": op6_sentencepiece, "op7_eliasfano_lm": op7_eliasfano_lm, "op8_order_minhash": op8_order_minhash, "op9_mixing": op9_mixing, "op10_line_blocks": op10_line_blocks}
 ORACLE = {"op9_mixing": mixing.ORACLE_SQL}
