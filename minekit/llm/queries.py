@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langzip, mainarticle, mixing, mpegaudio, ngramlm, ordermin, pieces, sharding, toxicity
+from . import langzip, mainarticle, mixing, mpegaudio, neardup, ngramlm, ordermin, pieces, sharding, toxicity
 from .common import fold
 
 
@@ -36,6 +36,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under 3-word shingles and a similarity of 0.9."""
+    return neardup.near_duplicates(_docs(spark, sf_dir), k=3, t=(90, 100)).select("doc_id", "n_shingles", "component_id", "representative")
+
+
 def op4_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learnt from two folds of three."""
     docs = _docs(spark, sf_dir).withColumn("held_out", fold("doc_id", 3) == 1)
@@ -83,5 +88,5 @@ def op10_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainarticle.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op2_toxicity": op2_toxicity, "op4_compression": op4_compression, "op5_sharding": op5_sharding, "op6_sentencepiece": op6_sentencepiece, "op7_eliasfano_lm": op7_eliasfano_lm, "op8_order_minhash": op8_order_minhash, "op9_mixing": op9_mixing, "op10_line_blocks": op10_line_blocks}
+QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op2_toxicity": op2_toxicity, "op3_jaccard_join": op3_jaccard_join, "op4_compression": op4_compression, "op5_sharding": op5_sharding, "op6_sentencepiece": op6_sentencepiece, "op7_eliasfano_lm": op7_eliasfano_lm, "op8_order_minhash": op8_order_minhash, "op9_mixing": op9_mixing, "op10_line_blocks": op10_line_blocks}
 ORACLE = {"op9_mixing": mixing.ORACLE_SQL}
