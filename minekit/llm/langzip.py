@@ -21,7 +21,7 @@ SAMPLE_DOCS, DICT_BYTES, MOST_LANGUAGES = 96, 112_640, 256
 #: Level of compression, and the level for folded texts of no more than SHORT bytes.
 LEVEL, SHORT_LEVEL, SHORT = 9, 12, 2048
 #: A decision is rejected if the runner-up is larger by less than this share of its own size.
-MIN_MARGIN = 0.005
+MIN_MARGIN = 0.002
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -84,17 +84,17 @@ class Classifier:
         return sizes[0][1], min(1.0, 0.5 + margin * 5), margin
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
-    """docs without text, with lang_pred, score, margin and rejected.
+def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN, keep_text: bool = False) -> DataFrame:
+    """docs without text (unless keep_text), with lang_pred, score, margin and rejected.
 
     Null, empty and letterless texts are und with score 0 and rejected. Ties go to the
     language first in order. rejected also marks margins under min_margin (lang_pred still names
     the best guess). Columns of docs with these names are replaced. Rows are independent.
     """
     made = ["lang_pred", "score", "margin", "rejected"]
-    keep = [c for c in docs.columns if c not in (text_col, *made)]
-    slim = docs.select(*keep, text_col)
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != text_col), "lang_pred string, score double, margin double, rejected boolean"])
+    keep = [c for c in docs.columns if c not in made and (keep_text or c != text_col)]
+    slim = docs.select(*dict.fromkeys([*keep, text_col]))
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in keep), "lang_pred string, score double, margin double, rejected boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Classifier(dictionaries)

@@ -73,6 +73,20 @@ def mix_sources(
     other than the three named are not read.
     """
     rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), row_hash(F.col(id_col)).alias("hash")), "mix-sizes")
+    decided = _decided(rows, _plan(rows, weights, share, ceiling))
+    return decided.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).cast("long").alias("taken"))
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
+    """The mix itself: every row of docs as often as mix_sources says, with the columns of docs. Texts are not shuffled."""
+    rows = written(docs.select(F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), row_hash(F.col(id_col)).alias("hash")), "mix-sizes")
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).cast("string").alias("source"), row_hash(F.col(id_col)).alias("hash"))
+    out = _decided(own, _plan(rows, weights, share, ceiling)).where("repeats > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select("row.*")
+
+
+def _plan(rows: DataFrame, weights: tuple[float, ...], share: float, ceiling: float) -> DataFrame:
+    """(source, source_size, target, passes, prefix) of each source, from rows (source, size, hash)."""
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = written(
         targets(per_source, weights, share, ceiling)
@@ -83,17 +97,15 @@ def mix_sources(
     threshold = goal.select("source", F.col("budget").alias("left"), F.lit(0).cast("long").alias("prefix"))
     for level in range(LEVELS):
         threshold = written(_refine(rows, threshold, level), f"mix-level{level}")
-    decided = rows.alias("r").join(goal.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).join(threshold.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
-    repeats = F.col("g.passes") + F.when(F.col("r.hash") < F.col("t.prefix"), 1).otherwise(0)
-    return decided.select(
-        F.col("r.id").alias(id_col),
-        F.col("r.source").alias(source_col),
-        F.col("r.size").alias("size"),
-        F.col("g.source_size").alias("source_size"),
-        F.col("g.target").alias("target"),
-        repeats.cast("long").alias("repeats"),
-        (F.col("r.size") * repeats).cast("long").alias("taken"),
-    )
+    both = goal.alias("g").join(threshold.alias("t"), F.col("g.source").eqNullSafe(F.col("t.source")))
+    return written(both.select("g.source", "g.source_size", "g.target", "g.passes", "t.prefix"), "mix-plan")
+
+
+def _decided(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows with source_size, target and repeats of their source and hash."""
+    repeats = (F.col("p.passes") + F.when(F.col("r.hash") < F.col("p.prefix"), 1).otherwise(0)).cast("long").alias("repeats")
+    joined = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
+    return joined.select("r.*", "p.source_size", "p.target", repeats)
 
 
 def _refine(rows: DataFrame, threshold: DataFrame, level: int) -> DataFrame:
