@@ -29,9 +29,9 @@ def laps(spark: SparkSession, d: str) -> DataFrame:
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """Laps with three model scores made of figures of the row."""
     return laps(spark, d).withColumns({
-        "p1": X.sigmoid(F.lit(0.02) * (F.col("value") - 40) + F.lit(0.1) * (F.col("tyre_life") % 7) - 1.0),
-        "p2": X.sigmoid(F.lit(0.3) * (F.col("lap") % 5) - 1.2 + F.lit(0.01) * (F.col("id") % 13)),
-        "p3": X.sigmoid(F.lit(0.05) * (F.col("id") % 17) - 0.9 + F.lit(0.2) * F.col("target")),
+        "p1": F.round(X.sigmoid(F.lit(0.02) * (F.col("value") - 40) + F.lit(0.1) * (F.col("tyre_life") % 7) - 1.0), 9),
+        "p2": F.round(X.sigmoid(F.lit(0.3) * (F.col("lap") % 5) - 1.2 + F.lit(0.01) * (F.col("id") % 13)), 9),
+        "p3": F.round(X.sigmoid(F.lit(0.05) * (F.col("id") % 17) - 0.9 + F.lit(0.2) * F.col("target")), 9),
     })
 
 

@@ -11,7 +11,7 @@ laps AS (SELECT *, row_number() OVER (PARTITION BY driver, race, year, stint ORD
 """
 #: Scores from figures of a row: the same in both engines.
 SCORED = LAPS + """,
-scored AS (SELECT *, 1 / (1 + exp(-(0.02 * (value - 40) + 0.1 * (tyre_life % 7) - 1.0))) AS p1, 1 / (1 + exp(-(0.3 * (lap % 5) - 1.2 + 0.01 * (id % 13)))) AS p2, 1 / (1 + exp(-(0.05 * (id % 17) - 0.9 + 0.2 * target))) AS p3 FROM laps)
+scored AS (SELECT *, round(1 / (1 + exp(-(0.02 * (value - 40) + 0.1 * (tyre_life % 7) - 1.0))), 9) AS p1, round(1 / (1 + exp(-(0.3 * (lap % 5) - 1.2 + 0.01 * (id % 13)))), 9) AS p2, round(1 / (1 + exp(-(0.05 * (id % 17) - 0.9 + 0.2 * target))), 9) AS p3 FROM laps)
 """
 BASKETS = """
 baskets AS (SELECT DISTINCT l_orderkey AS basket, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey)
