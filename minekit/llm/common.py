@@ -59,18 +59,35 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Rows of a batch that Spark hands to Python: whole texts can be long, and a batch is held several times over.
+BATCH_ROWS = 2048
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df; its session from now on hands no more than BATCH_ROWS rows to Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 # Word tokens of Arrow batches
 
 
+def fresh(texts: pa.Array) -> pa.Array:
+    """Large strings without nulls, copied: some string kernels misread pieces of larger arrays."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    return pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
+
+
 def tokens(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(number of words of each text, code of each word, the distinct words).
 
     Words are runs of anything but ASCII white space; with lower only A-Z change.
     Null texts have no words.
     """
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = fresh(texts)
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat, rows = parts.flatten(), np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
     keep = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)

@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Training documents drawn per language (expected), bytes of a dictionary, most languages.
 SAMPLE_DOCS, DICT_BYTES, MOST_LANGUAGES = 96, 112_640, 256
 #: Level of compression, and the level for folded texts of no more than SHORT bytes.
@@ -93,7 +95,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     """
     made = ["lang_pred", "score", "margin", "rejected"]
     keep = [c for c in docs.columns if c not in made and (keep_text or c != text_col)]
-    slim = docs.select(*dict.fromkeys([*keep, text_col]))
+    slim = bounded_batches(docs).select(*dict.fromkeys([*keep, text_col]))
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in keep), "lang_pred string, score double, margin double, rejected boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

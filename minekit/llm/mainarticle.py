@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
+
 #: Lines a window holds, and the window sums that open and close a main stretch.
 WINDOW, SURGE, DIVE = 3, 86, 10
 
@@ -151,7 +153,7 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
     replaced. Rows are independent of each other; nothing is shuffled.
     """
     keep = [c for c in pages.columns if c not in (html_col, out_col, "n_chars")]
-    slim = pages.select(*keep, html_col)
+    slim = bounded_batches(pages).select(*keep, html_col)
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != html_col), f"`{out_col}` string", "n_chars bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
+
 # Fixed values of the format: kbit/s by (version class, layer), Hz by version, samples by version and layer.
 BITRATES = {
     (1, 1): [0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448],
@@ -270,7 +272,7 @@ def probe(media: DataFrame, media_col: str = "media") -> DataFrame:
     """
     made = ["duration", "samples", "rate", "frames", "offsets", "tags", "crc_ok", "crc_bad", "junk_bytes", "truncated"]
     keep = [c for c in media.columns if c not in (media_col, *made)]
-    slim = media.select(*keep, media_col)
+    slim = bounded_batches(media).select(*keep, media_col)
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != media_col), "duration double, samples bigint, rate int, frames bigint, offsets array<bigint>, tags map<string,string>, crc_ok bigint, crc_bad bigint, junk_bytes bigint, truncated bigint"])
     kinds = [pa.float64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.map_(pa.string(), pa.string()), *[pa.int64()] * 4]
 
@@ -290,7 +292,7 @@ def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A null text counts as empty and becomes one frame of bytes 255. Equal texts give equal
     values. Rows are independent of each other; nothing is shuffled, and one text at a time is held.
     """
-    slim = docs.select(id_col, text_col)
+    slim = bounded_batches(docs).select(id_col, text_col)
     kind = slim.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

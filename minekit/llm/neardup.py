@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, tokens, word_hashes, written
+from .common import bounded_batches, mix, tokens, word_hashes, written
 from .components import components
 from .ngramlm import slices
 
@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, t: tuple[int, int] = (8, 10), i
     equal ids are taken as one document; rows without an id keep null representatives and components.
     An empty table gives an empty result. Other columns of docs are not read.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     frequent = frequent_elements(base, k)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

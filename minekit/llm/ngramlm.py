@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, new_path, shuffle_parts, tokens, word_hashes
+from .common import bounded_batches, mix, new_path, shuffle_parts, tokens, word_hashes
 from .eliasfano import EliasFano, load, named, part, save
 
 #: Absolute discount; steps of a quantised log10 per unit; text bytes handled at once.
-DISCOUNT, STEPS, SLICE = 0.75, 4096, 4 << 20
+DISCOUNT, STEPS, SLICE = 0.75, 4096, 2 << 20
 #: The end of a text as a token.
 END = np.uint64(0x9D5C3A7F11E60B29)
 
@@ -200,7 +200,7 @@ def fit(train: DataFrame, text_col: str = "text", order: int = 2, shards: int |
     spark: SparkSession = train.sparkSession
     shards = shards or max(4, shuffle_parts(spark))
     path = new_path(spark, "ngrams")
-    docs = train.select(F.col(text_col).alias("text"))
+    docs = bounded_batches(train).select(F.col(text_col).alias("text"))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -334,7 +334,7 @@ def score(docs: DataFrame, meta: Meta, text_col: str = "text") -> DataFrame:
     """
     made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     keep = [c for c in docs.columns if c not in (text_col, *made)]
-    slim = docs.select(*keep, text_col)
+    slim = bounded_batches(docs).select(*keep, text_col)
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != text_col), "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
+
 #: Chunks a worker remembers; segmentations of a text by default.
 MEMO, NBEST = 400_000, 4
 
@@ -191,7 +193,7 @@ def encode(docs: DataFrame, model_path: str, n: int = NBEST, text_col: str = "te
     """
     made = ["n_tokens", "ids", "nbest_scores"] + ["nbest_ids"] * all_ids
     keep = [c for c in docs.columns if c not in made]
-    slim = docs.select(*keep)
+    slim = bounded_batches(docs).select(*keep)
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema), "n_tokens bigint, ids array<int>, nbest_scores array<double>"] + ["nbest_ids array<array<int>>"] * all_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,14 +229,14 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str
             texts = [None if x is None else vocabulary.decode(x) if x else "" for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(texts, pa.string())], names=[*keep, out_col])
 
-    return rows.select(*keep).mapInArrow(run, fields)
+    return bounded_batches(rows).select(*keep).mapInArrow(run, fields)
 
 
 def digest_documents(docs: DataFrame, model_path: str, n: int = NBEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256 (of the best ids as little-endian int32), nbest_scores, alternatives (paths found) and round_trip (decoding gives the text back)."""
     import hashlib
 
-    slim = docs.select(id_col, text_col)
+    slim = bounded_batches(docs).select(id_col, text_col)
     kind = slim.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
