@@ -81,10 +81,10 @@ def _shares(df, name):
     return n.select("user_id", X.r6(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias(name))
 
 
-@query("jn_full_outer", "WITH a AS (SELECT user_id, round(count(*) / sum(count(*)) OVER (), 6) AS x FROM events WHERE event_id % 50 = 0 GROUP BY user_id), b AS (SELECT user_id, round(count(*) / sum(count(*)) OVER (), 6) AS y FROM events WHERE event_id % 50 = 1 GROUP BY user_id) SELECT coalesce(a.user_id, b.user_id) AS user_id, x, y FROM a FULL JOIN b ON a.user_id = b.user_id")
+@query("jn_full_outer", "WITH a AS (SELECT user_id, round(count(*) / sum(count(*)) OVER (), 6) AS x FROM events WHERE event_id % 2 = 0 GROUP BY user_id), b AS (SELECT user_id, round(count(*) / sum(count(*)) OVER (), 6) AS y FROM events WHERE event_id % 2 = 1 GROUP BY user_id) SELECT coalesce(a.user_id, b.user_id) AS user_id, x, y FROM a FULL JOIN b ON a.user_id = b.user_id")
 def jn_full_outer(spark, d):
     e = ev(spark, d)
-    return _shares(e.where("event_id % 50 = 0"), "x").join(_shares(e.where("event_id % 50 = 1"), "y"), "user_id", "full")
+    return _shares(e.where("event_id % 2 = 0"), "x").join(_shares(e.where("event_id % 2 = 1"), "y"), "user_id", "full")
 
 
 @query("jn_cross_expand", "SELECT p_partkey, label, CAST(p_type = label AS INTEGER) AS is_target FROM part CROSS JOIN (SELECT DISTINCT p_type AS label FROM part)")

@@ -18,7 +18,7 @@ baskets AS (SELECT DISTINCT l_orderkey AS basket, p_brand AS item FROM lineitem
 """
 EDGES = """
 pairs AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS s FROM lineitem),
-edges AS (SELECT DISTINCT a.s AS u, b.s AS v FROM pairs a JOIN pairs b ON a.k = b.k AND a.s < b.s WHERE a.k % 7 = 0)
+edges AS (SELECT DISTINCT a.s AS u, b.s AS v FROM pairs a JOIN pairs b ON a.k = b.k AND a.s < b.s)
 """
 IRRIGATION = """
 irr AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS soil, 20 + 200 * l_tax AS temp, 150 + l_extendedprice / 250 AS rain, 100 * l_discount + 5 AS wind,
