@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, tokens, word_hashes, written
+from .common import bounded_batches, mix, release, tokens, word_hashes, written
 from .components import components
 from .ngramlm import slices
 
@@ -119,10 +119,13 @@ def keys(elements: np.ndarray, frequent: np.ndarray, t: tuple[int, int]) -> np.n
     return np.concatenate(out)
 
 
-def sketch(elements: np.ndarray) -> bytes:
-    """Parities of the number of elements in each of W classes, W the power of two from 2 n on, at least 64."""
+def sketch(elements: np.ndarray, t: tuple[int, int]) -> bytes:
+    """Parities of the number of elements in each of W classes, W the power of two from 5 (1 - t) n on, at least 64.
+
+    That is more than twice the elements in which linked sets differ, so sets that differ in many more stand out.
+    """
     size = 64
-    while size < 2 * len(elements):
+    while size * t[1] < 5 * (t[1] - t[0]) * len(elements):
         size *= 2
     return np.packbits((np.bincount((elements & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -301,6 +304,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, t: tuple[int, int] = (8, 10), i
     An empty table gives an empty result. Other columns of docs are not read.
     """
     base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
     frequent = frequent_elements(base, k)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +317,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, t: tuple[int, int] = (8, 10), i
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column("id"), pa.array(n.astype(np.int32)), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found))), pa.array([sketch(x) for x in own], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found))), pa.array([sketch(x, t) for x in own], pa.binary()),
                     ],
                     names=["id", "n", "digest", "keys", "sketch"],
                 )
@@ -321,16 +325,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, t: tuple[int, int] = (8, 10), i
     rows = written(base.mapInArrow(describe, "id bigint, n int, digest binary, keys array<bigint>, sketch binary"), "dup-docs")
     classes = written(rows.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "dup-classes")
     index = classes.select("rep", F.explode("keys").alias("key"))
+    release(spark)
     shared = index.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
-    members = written(shared.join(classes.select("rep", "n", "sketch"), "rep"), "dup-members")
-    text_of = base.where("id is not null")
-    first = written(_candidates(members.withColumn("part", F.col("rep")), t, True), "dup-first")
+    members = written(shared, "dup-members")
+    release(spark)
+    described, text_of = classes.select("rep", "n", "sketch"), base.where("id is not null")
+    first = written(_candidates(members.join(described, "rep").withColumn("part", F.col("rep")), t, True), "dup-first")
+    release(spark)
     linked = written(_verified(first, text_of, k, t), "dup-linked")
     labels = written(components(linked), "dup-labels")
-    parted = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+    release(spark)
+    parted = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "m", "rep", F.coalesce("component", "rep").alias("part"))
     # keys all of whose members are in one component have nothing left to ask
     mixed = parted.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("key")
-    second = written(_candidates(parted.join(mixed, "key", "left_semi"), t, False).join(first, ["a", "b"], "left_anti"), "dup-second")
+    parted = written(parted.join(mixed, "key", "left_semi"), "dup-mixed")
+    second = written(_candidates(parted.join(described, "rep"), t, False).join(first, ["a", "b"], "left_anti"), "dup-second")
+    release(spark)
     if second.limit(1).count():
         linked = written(linked.unionByName(written(_verified(second, text_of, k, t), "dup-linked2")), "dup-all")
         labels = written(components(linked), "dup-labels2")
