@@ -89,6 +89,14 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.score(frame(spark, texts), none).collect()} == {0}
 
 
+@pytest.mark.parametrize("n", [40, 20_000])
+def test_scale_of_parted_classes(n):
+    """Evidence that parts the classes wholly gives a threshold between them, however many rows there are."""
+    y = (np.arange(n) % 10 == 0).astype(float)
+    slope, bias = toxicity._logistic(np.where(y == 1, 7.4, 1.4) + np.linspace(-0.5, 0.5, n), y)
+    assert 2.0 < -bias / slope < 6.9
+
+
 def test_decode_is_the_cheapest_path():
     model = toxicity.CharModel({"^^i": 5, "^id": 5, "idi": 5, "dio": 5, "iot": 5, "ot$": 5, "^^1": 1, "^1d": 1})
 
