@@ -67,8 +67,8 @@ class EliasFano:
             out |= rows[:, b].astype(np.uint64) << np.uint64(8 * b)
         return out
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each key, -1 where it is absent."""
+    def find(self, keys: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """Index of each key, -1 where it is absent; with lo and hi only indices in [lo, hi) are searched."""
         out = np.full(len(keys), -1, np.int64)
         keys = np.asarray(keys, np.uint64)
         inside = np.flatnonzero(keys <= self.last) if self.n else np.zeros(0, np.int64)
@@ -81,6 +81,8 @@ class EliasFano:
         some = high > 0
         start[some] = self._select0(high[some] - 1) - (high[some] - 1)
         low = keys & np.uint64((1 << (8 * self.low_bytes)) - 1)
+        if lo is not None and hi is not None:
+            start, end = np.maximum(start, lo[inside]), np.minimum(end, hi[inside])
         stop = end.copy()
         while (open_ := np.flatnonzero(start < end)).size:
             mid = (start[open_] + end[open_]) >> 1

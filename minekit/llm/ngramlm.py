@@ -6,7 +6,7 @@ id is its rank) and their counts. Level n holds, in shards, contexts and their s
 - contexts: the positions of nodes of level n - 1, Elias-Fano;
 - pointers: where each context's successors begin, rising, Elias-Fano;
 - successors: word ids, made to rise over all contexts by adding (context's place * ids), Elias-Fano,
-  so a successor is searched relative to its context;
+  so a successor is searched relative to its context, between its context's pointers;
 - quantised log10 of the discounted probability of each successor, and of the weight that its
   context leaves to the lower level: p(w | h) = (c(hw) - D) / c(h) + D * T(h) / c(h) * p(w | h').
 
@@ -31,6 +31,8 @@ from .eliasfano import EliasFano, load, named, part, save
 
 #: Absolute discount; steps of a quantised log10 per unit; text bytes handled at once.
 DISCOUNT, STEPS, SLICE = 0.75, 4096, 2 << 20
+#: Pairs a counting task holds before it hands them on.
+HELD = 4_000_000
 #: The end of a text as a token.
 END = np.uint64(0x9D5C3A7F11E60B29)
 
@@ -122,8 +124,7 @@ class Model:
         if not len(rows):
             return at, p, gamma
         # a word outside of the vocabulary still has its context's weight; it gets a word id that no node has
-        order = np.lexsort((word[rows], context[rows]))
-        rows = rows[order]
+        rows = rows[np.argsort(_pair(context[rows], word[rows], self.meta.words))]
         own, w = context[rows], word[rows]
         first = np.concatenate([[True], (own[1:] != own[:-1]) | (w[1:] != w[:-1])])
         group, u = np.cumsum(first) - 1, np.flatnonzero(first)
@@ -140,8 +141,13 @@ class Model:
                 ug[sel] = restored(f["gamma"][c])
                 seen = uw[sel] >= 0
                 sel, c = sel[seen], c[seen]
+                if not len(sel):
+                    continue
                 key = c.astype(np.uint64) * np.uint64(self.meta.words) + uw[sel].astype(np.uint64)
-                found = f["next"].find(key)
+                # rows are sorted by context: each context's range of successors is read once
+                new = np.concatenate([[True], c[1:] != c[:-1]])
+                nth, begin = np.cumsum(new) - 1, f["pointers"].get(c[new])
+                found = f["next"].find(key, begin[nth].astype(np.int64), f["pointers"].get(c[new] + 1)[nth].astype(np.int64))
                 hit = found >= 0
                 ua[sel[hit]] = found[hit] + self.meta.levels[level][s][1]
                 up[sel[hit]] = restored(f["p"][found[hit]])
@@ -182,6 +188,11 @@ def shard_of(context: np.ndarray, word: np.ndarray, hot: np.ndarray, shards: int
     return (key % np.uint64(shards)).astype(np.int64)
 
 
+def _pair(context: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
+    """(context, word) as one number that sorts as the pair does; word: -1 to words."""
+    return context.astype(np.uint64) * np.uint64(words + 2) + (word + 1).astype(np.uint64)
+
+
 def _blobs(place: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     """A row for each place with the columns' own pieces as bytes; columns are sorted by place."""
     edge = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]])) if len(place) else np.zeros(1, int)
@@ -255,8 +266,28 @@ def _build_level(docs: DataFrame, meta: Meta, level: int) -> None:
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(meta)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # pairs and their counts
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            pair, count = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(pair)
+            pair, count = pair[order], count[order]
+            at = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            return pair[at], np.add.reduceat(count, at)
+
+        def blobs(pair: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+            context, ids = (pair // np.uint64(words + 2)).astype(np.int64), (pair % np.uint64(words + 2)).astype(np.int64) - 1
+            place = shard_of(context, ids, hot, shards)
+            order = np.argsort(place, kind="stable")
+            place, context, ids, count = place[order], context[order], ids[order], count[order]
+            # counts in one byte: a pair counted more often takes several entries
+            again = -(-count // 255)
+            at, few = np.repeat(np.arange(len(count)), again), np.repeat(count, again)
+            nth = np.arange(len(at)) - np.repeat(np.cumsum(again) - again, again)
+            few = np.minimum(few - 255 * nth, 255).astype(np.uint8)
+            return _blobs(place[at], [context[at].astype(wide_c), ids[at].astype(wide_w), few], ["context", "word", "few"])
+
         for batch in batches:
-            held: list[tuple[np.ndarray, np.ndarray]] = []
             for piece in slices(batch, "text"):
                 lengths, h = hashed(piece.column(0))
                 if level == 2:
@@ -268,27 +299,20 @@ def _build_level(docs: DataFrame, meta: Meta, level: int) -> None:
                 first[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = True
                 context = np.roll(node, 1)
                 context[first] = words if level == 2 else -1
-                held.append((context[context >= 0], ids[context >= 0]))
-            if not held:
-                continue
-            context, ids = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            place = shard_of(context, ids, hot, shards)
-            order = np.lexsort((ids, context, place))
-            place, context, ids = place[order], context[order], ids[order]
-            first = np.concatenate([[True], (context[1:] != context[:-1]) | (ids[1:] != ids[:-1])]) if len(ids) else np.zeros(0, bool)
-            at = np.flatnonzero(first)
-            count = np.diff(np.append(at, len(ids)))
-            # counts in one byte: a pair counted more often takes several entries
-            again = -(-count // 255)
-            at, few = np.repeat(at, again), np.repeat(count, again)
-            nth = np.arange(len(at)) - np.repeat(np.cumsum(again) - again, again)
-            few = np.minimum(few - 255 * nth, 255).astype(np.uint8)
-            yield _blobs(place[at], [context[at].astype(wide_c), ids[at].astype(wide_w), few], ["context", "word", "few"])
+                if (context >= 0).any():
+                    held.append(np.unique(_pair(context[context >= 0], ids[context >= 0], words), return_counts=True))
+            if sum(len(x[0]) for x in held) > HELD:
+                held[:] = [merged()]
+                if len(held[0][0]) > HELD // 2:
+                    yield blobs(*held[0])
+                    held.clear()
+        if held:
+            yield blobs(*merged())
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         context, word = _joined(table, "context", wide_c), _joined(table, "word", wide_w)
         count = _joined(table, "few", "u1").astype(np.int64)
-        order = np.lexsort((word, context))
+        order = np.argsort(_pair(context, word.astype(np.int64), words))
         context, word, count = context[order], word[order], count[order]
         first = np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
         at = np.flatnonzero(first)

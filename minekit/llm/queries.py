@@ -59,7 +59,7 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 #: Words in an n-gram of the language model.
-LM_ORDER = 2
+LM_ORDER = 3
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

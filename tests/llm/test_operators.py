@@ -272,6 +272,23 @@ def test_language_model(spark, order, monkeypatch):
     assert end and ngramlm.score(frame(spark, ["a"]), ngramlm.fit(train.limit(0), order=order)).count() == 1
 
 
+def test_language_model_as_registered(spark, tmp_path, monkeypatch):
+    """The query scores by two words of context: what follows 'a b' and 'c b' tells them apart."""
+    from minekit.llm import queries
+
+    texts = ["a b x", "c b y"] * 20 + ["a b x", "a b y"]
+    frame(spark, texts, ids=list(range(len(texts)))).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(queries, "fold", lambda c, m: F.when(F.col(c) >= 40, F.lit(1)).otherwise(F.lit(0)))
+    got = {r["doc_id"]: r["score"] for r in queries.op7_eliasfano_lm(spark, str(tmp_path)).collect()}
+    assert got[40] > got[41] + 0.5
+
+
+def test_pointers_bound_the_search():
+    e = eliasfano.EliasFano(eliasfano.EliasFano.encode(np.arange(0, 900, 3, dtype=np.uint64)))
+    q = np.array([30, 30, 30, 31], np.uint64)
+    assert e.find(q, np.array([0, 11, 0, 0]), np.array([300, 300, 10, 300])).tolist() == [10, -1, -1, -1]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for n, top in ((0, 1), (1, 9), (500, 600), (3000, 2**40), (3000, 2**63)):
