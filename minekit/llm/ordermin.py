@@ -1,11 +1,11 @@
 """Order MinHash fingerprints (DataFrame operations only).
 
 A text's k-mers are runs of k words (fewer words: the whole text as one). Equal k-mers are
-numbered by occurrence, and a hash of (k-mer, occurrence) gives each a bin and a rank. Each
-bin takes its `take` least numbered k-mers, puts them back into text order and hashes the
-tuple: one slot of the fingerprint. Two texts agree in a slot if the same k-mers, in the same
-order, are least in it, so likeness falls with edits and with moved pieces alike. All of it is
-projections over arrays: nothing is exploded or shuffled.
+numbered by occurrence. Each slot of the fingerprint has its own hash over all numbered k-mers
+of the text: it takes the `take` least, puts them back into text order and hashes the tuple.
+Two texts agree in a slot if the same k-mers, in the same order, are least in it, so likeness
+falls with edits and with moved pieces alike. All of it is projections over arrays: nothing is
+exploded or shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ POSITION = 24
 
 
 def with_fingerprint(df: DataFrame, text_col: str, out_col: str, bins: int = 64, k: int = 3, take: int = 2) -> DataFrame:
-    """df with out_col, an array<int> of bins slots (bins <= 64, k >= 2), null where no k-mer fell into the bin.
+    """df with out_col, an array<int> of bins slots (k >= 2), all null for a text without words.
 
     Empty and null texts have nulls only. Words are split at ASCII white space. Each step is a
     column of its own, so that arrays of longs are sorted by generated code. Every step is read
@@ -45,23 +45,15 @@ def with_fingerprint(df: DataFrame, text_col: str, out_col: str, bins: int = 64,
         again = (i > 0) & (F.get(h, i - 1) == own)
         return pack(F.when(again, F.xxhash64(own, i + 1 - F.array_position(h, own).cast("int"))).otherwise(F.xxhash64(own)), x)
 
-    df = df.withColumn(f"{packed}_z", F.sort_array(F.transform(s, numbered)))
+    df = df.withColumn(f"{packed}_z", F.transform(s, numbered))
     z = F.col(f"{packed}_z")
-    shift = 64 - (bins - 1).bit_length()  # the bin is the hash's top bits
-    bin_of = lambda x: F.shiftright(x, shift)
-    df = df.withColumn(least, F.filter(z, lambda x, i: (i < take) | (bin_of(F.get(z, i - take)) != bin_of(x))))
-    y = F.col(least)
-
-    def slot(x: Column, i: Column) -> Column:
-        own = F.sort_array(F.array(*[F.when(bin_of(F.get(y, i + j)) == bin_of(x), F.struct(F.get(y, i + j).bitwiseAND(low).alias("p"), F.shiftright(F.get(y, i + j), POSITION).alias("h"))) for j in range(take)]))
-        return F.when((i == 0) | (bin_of(F.get(y, i - 1)) != bin_of(x)), F.struct(bin_of(x).cast("int").alias("b"), F.xxhash64(F.transform(F.filter(own, lambda e: e.isNotNull()), lambda e: e["h"])).alias("v")))
-
-    df = df.withColumn(f"{least}_m", F.map_from_entries(F.filter(F.transform(y, slot), lambda e: e.isNotNull())))
-    first = -(bins // 2)
-    m = F.col(f"{least}_m")
-    value = lambda b: F.when(F.map_contains_key(m, b + first), F.shiftright(F.element_at(m, b + first), 32).cast("int"))
-    df = df.withColumn(out_col, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), value))
-    return df.drop(words, packed, f"{packed}_h", f"{packed}_z", least, f"{least}_m")
+    own_hash = lambda j: F.transform(z, lambda x: pack(F.xxhash64(F.shiftright(x, POSITION), j), x))
+    df = df.withColumn(least, F.when(F.size(z) > 0, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda j: F.slice(F.sort_array(own_hash(j)), 1, take))))
+    # position before hash: 24 and 39 bits
+    turned = lambda x: F.shiftleft(x.bitwiseAND(low), 39).bitwiseOR(F.shiftrightunsigned(x, POSITION + 1))
+    value = lambda y: F.shiftright(F.xxhash64(F.transform(F.sort_array(F.transform(y, turned)), lambda x: x.bitwiseAND(2**39 - 1))), 32).cast("int")
+    df = df.withColumn(out_col, F.coalesce(F.transform(least, value), F.array_repeat(F.lit(None).cast("int"), bins)))
+    return df.drop(words, packed, f"{packed}_h", f"{packed}_z", least)
 
 
 def likeness(a: Column, b: Column) -> Column:
