@@ -356,6 +356,17 @@ def test_pages(spark):
     assert got[3]["text"] == got[4]["text"] == "" and got[5]["text"] == "short" and got[1]["n_chars"] == len(got[1]["text"])
 
 
+def test_curve_decides_beside_articles():
+    """Main text in blocks beside articles stays, comments that are articles go, and neither negated names nor containers lose it."""
+    para = "A sentence of the main text that is long enough to be a paragraph of its own, with words. " * 2
+    cards = "<article><a href=1>One</a></article><article><a href=2>Two</a></article>"
+    got = mainarticle.main_text(f"<body><div><p>{para}</p><p>{para}</p></div><div><p><a href=3>x</a></p><p><a href=4>y</a></p><p><a href=5>z</a></p></div>{cards}")
+    assert got.startswith(f"{para.strip()}\n{para.strip()}") and "Two" not in got
+    assert mainarticle.main_text(f"<body><article><p>{para}</p></article><article class='comment'><p>Reader: {para}</p></article>") == para.strip()
+    for names in ("content no-sidebar", "post-body share-wide"):
+        assert mainarticle.main_text(f"<body><div class='{names}'><p>{para}</p></div>") == para.strip()
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
 
