@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     global _FALLBACK
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         if _FALLBACK is None or not os.path.isdir(_FALLBACK):
             _FALLBACK = tempfile.mkdtemp(prefix="minekit-shared-")
             made = _FALLBACK
@@ -47,7 +51,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing will read any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -66,8 +80,8 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-#: Rows of a batch that Spark hands to Python: whole texts can be long, and a batch is held several times over.
-BATCH_ROWS = 2048
+#: Rows of a batch that Spark hands to Python; bytes of text that a kernel handles at once.
+BATCH_ROWS, SLICE = 2048, 2 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -78,6 +92,50 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch of about SLICE bytes of text; a longer text is a piece of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    if sizes.sum() <= SLICE:
+        if batch.num_rows:
+            yield batch
+        return
+    lo = total = 0
+    for i, size in enumerate(sizes.tolist()):
+        if total and total + size > SLICE:
+            yield batch.slice(lo, i - lo)
+            lo, total = i, 0
+        total += size
+    yield batch.slice(lo)
+
+
+def give_back() -> None:
+    """Hands memory that nothing uses any more back to the system: workers are reused, and what they keep adds up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
+def by_slices(column: str, ready: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow: what ready() makes in the worker, applied to slices of the batches; memory is given back at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # kernels make no cycles, and their many small objects are costly to look through
+        try:
+            apply = ready()
+            for batch in batches:
+                for piece in slices(batch, column):
+                    yield apply(piece)
+        finally:
+            apply = batch = piece = None
+            gc.enable()
+            give_back()
+
+    return run
+
+
 # Word tokens of Arrow batches
 
 

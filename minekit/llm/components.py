@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,13 +16,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     both = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
     both = written(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "cc-edges")
-    labels = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l")).select(F.col("u").alias("id"), "l"), "cc-labels")
+    labels = step = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l")).select(F.col("u").alias("id"), "l"), "cc-labels")
     while True:
         offered = both.join(labels, both.v == labels.id).groupBy(F.col("u").alias("id")).agg(F.min("l").alias("m"))
-        lower = labels.join(offered, "id", "left").select("id", "l", F.least("l", F.coalesce("m", "l")).alias("n"))
-        lower = written(lower, "cc-lower")
+        lower = written(labels.join(offered, "id", "left").select("id", "l", F.least("l", F.coalesce("m", "l")).alias("n")), "cc-lower")
         target = lower.select(F.col("id").alias("n"), F.col("n").alias("t"))
-        step = written(lower.join(target, "n", "left").select("id", F.col("l").alias("old"), F.least("n", F.coalesce("t", "n")).alias("l")), "cc-step")
-        labels = step.select("id", "l")
+        after = written(lower.join(target, "n", "left").select("id", F.col("l").alias("old"), F.least("n", F.coalesce("t", "n")).alias("l")), "cc-step")
+        discard(lower, step)
+        step, labels = after, after.select("id", "l")
         if not step.where("old <> l").limit(1).count():
+            discard(both)
             return labels.select("id", F.col("l").alias("component"))

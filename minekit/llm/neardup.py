@@ -13,10 +13,12 @@ most frequent ones.
 
 Documents with equal sets form a class, represented by the least id. Members of a shared key are
 compared by parity sketches: the bits in which two sketches differ are no more than the elements
-in which the sets do, so nothing is lost. What passes is verified on the sets themselves. A
-first round verifies a forest of the candidates and finds components; a second one verifies all
-candidates between different components that are left. So large groups of copies cost about
-one verification for each member, and no link between components is missed.
+in which the sets do, so nothing is lost. A task hands on no pairs but a spanning tree of those
+that pass: so every link lies inside a component of these trees. The members of such a component
+meet once, with their sets, in blocks of bounded size, and again only a spanning tree of the
+pairs that do reach t is handed on; its components are the result. So a large group costs
+comparisons in memory, but rows, bytes and verifications only in proportion to its members,
+whether they are linked or just not.
 """
 
 from __future__ import annotations
@@ -29,14 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, release, tokens, word_hashes, written
+from .common import bounded_batches, discard, give_back, mix, release, slices, tokens, word_hashes, written
 from .components import components
-from .ngramlm import slices
 
 #: Documents that make an element frequent, the most frequent elements kept, groups of them, set sizes from which combinations serve.
 FREQUENT, MOST_FREQUENT, GROUPS, SHORT = 256, 65_536, 64, 128
-#: Members of a key compared in one task; ids up to which a side is broadcast.
-BLOCK, BROADCAST_IDS = 1024, 1_000_000
+#: Members of a key in a block; members, and bytes of sets, of a component in a block; ids up to which a side is broadcast.
+BLOCK, SET_BLOCK, SET_BYTES, BROADCAST_IDS = 1024, 4096, 16 << 20, 1_000_000
+#: Members of a group up to which plain numbers are faster than arrays.
+FEW = 24
+#: Bits of a sketch for each element that a linked set may miss: those that travel with the keys, those made of whole sets.
+NARROW, WIDE = 5, 64
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,13 +124,13 @@ def keys(elements: np.ndarray, frequent: np.ndarray, t: tuple[int, int]) -> np.n
     return np.concatenate(out)
 
 
-def sketch(elements: np.ndarray, t: tuple[int, int]) -> bytes:
-    """Parities of the number of elements in each of W classes, W the power of two from 5 (1 - t) n on, at least 64.
+def sketch(elements: np.ndarray, t: tuple[int, int], bits: int = NARROW) -> bytes:
+    """Parities of the number of elements in each of W classes, W the power of two from bits * (1 - t) n on, at least 64.
 
-    That is more than twice the elements in which linked sets differ, so sets that differ in many more stand out.
+    With 5 bits or more that is more than twice the elements in which linked sets differ, so sets that differ in many more stand out.
     """
     size = 64
-    while size * t[1] < 5 * (t[1] - t[0]) * len(elements):
+    while size * t[1] < bits * (t[1] - t[0]) * len(elements):
         size *= 2
     return np.packbits((np.bincount((elements & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -158,141 +163,169 @@ class _Forest:
             up[x], x = root, up.get(x, x)
         return root
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
-def _pairs_of(ids: list[int], sizes: list[int], parts: list[int], sketches: list[bytes], side: list[int], lo: int, hi: int, t: tuple[int, int]) -> Iterator[tuple[int, int]]:
-    """Index pairs of members in different components whose sketches allow a link (lo < hi: across the two blocks only)."""
-    n = len(ids)
-    if n <= 48:
-        bits = [8 * len(x) for x in sketches]
-        whole = [int.from_bytes(x, "little") for x in sketches]
-        for i in range(n):
+    def join(self, a: int, b: int) -> int:
+        """The root of both from now on."""
+        a, b = sorted((self.find(a), self.find(b)))
+        self.up[b] = a
+        return a
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Edges that join each tree's members: a tree of degree 9 at most, so no member has many rows."""
+        if not self.up:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        members = np.fromiter(self.up, np.int64, len(self.up))
+        roots = np.fromiter((self.find(x) for x in self.up), np.int64, len(self.up))
+        members, roots = np.concatenate([members, np.unique(roots)]), np.concatenate([roots, np.unique(roots)])
+        order = np.lexsort((members, roots))
+        members, roots = members[order], roots[order]
+        keep = np.concatenate([[True], members[1:] != members[:-1]])
+        members, roots = members[keep], roots[keep]
+        first = np.flatnonzero(np.concatenate([[True], roots[1:] != roots[:-1]]))
+        start = np.repeat(first, np.diff(np.append(first, len(members))))
+        nth = np.arange(len(members)) - start
+        own = nth > 0
+        return members[(start + (nth - 1) // 8)[own]], members[own]
+
+
+def _join_group(forest: _Forest, ids: list[int], sizes: list[int], sketches: list[bytes], side: list[int] | None, t: tuple[int, int], exact=None) -> None:
+    """Joins members whose sketches allow a link (and for which exact(i, j) holds); with side, only members of different sides meet.
+
+    Members that are joined already are not compared any more.
+    """
+    roots = [forest.find(x) for x in ids]
+    if len(set(roots)) == 1:
+        return
+    if len(ids) <= FEW:
+        bits, whole = [8 * len(x) for x in sketches], [int.from_bytes(x, "little") for x in sketches]
+        for i in range(len(ids)):
             for j in range(i):
-                if parts[i] != parts[j] and (lo == hi or side[i] != side[j]):
-                    most = _most_apart(sizes[i], sizes[j], t)
-                    if most >= 0:
-                        w = min(bits[i], bits[j])
-                        if (_fold(whole[i], bits[i], w) ^ _fold(whole[j], bits[j], w)).bit_count() <= most:
-                            yield i, j
+                if roots[i] != roots[j] and (side is None or side[i] != side[j]) and (most := _most_apart(sizes[i], sizes[j], t)) >= 0:
+                    w = min(bits[i], bits[j])
+                    if (_fold(whole[i], bits[i], w) ^ _fold(whole[j], bits[j], w)).bit_count() <= most and (exact is None or exact(i, j)):
+                        low, old = forest.join(ids[i], ids[j]), (roots[i], roots[j])
+                        roots = [low if r in old else r for r in roots]
         return
-    size, part, where = np.array(sizes, np.int64), np.array(parts, np.int64), np.array(side)
-    by: dict[int, np.ndarray] = {w: np.flatnonzero([len(x) == w for x in sketches]) for w in sorted({len(x) for x in sketches})}
-    matrix = {w: np.frombuffer(b"".join(sketches[i] for i in rows), np.uint64).reshape(len(rows), -1) for w, rows in by.items()}
-    for w, rows in by.items():
+    root = np.array(roots, np.int64)
+    size, where = np.array(sizes, np.int64), None if side is None else np.array(side)
+    width = np.array([len(x) for x in sketches])
+    rows_of = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
+    matrix = {w: np.frombuffer(b"".join([sketches[i] for i in rows]), np.uint64).reshape(len(rows), -1) for w, rows in rows_of.items()}
+    for w, rows in rows_of.items():
         targets = [(rows, matrix[w])]
         other = w
-        while (other := other * 2) <= max(by) and other <= 4 * w:  # sizes that may link differ by less
-            if other in by:
+        while (other := other * 2) <= max(rows_of) and other <= 4 * w:  # sizes that may link differ by less
+            if other in rows_of:
                 f = matrix[other]
                 while f.shape[1] > matrix[w].shape[1]:
                     f = f[:, : f.shape[1] // 2] ^ f[:, f.shape[1] // 2 :]
-                targets.append((by[other], f))
+                targets.append((rows_of[other], f))
         for at, i in enumerate(rows):
             for cols, m in targets:
                 if cols is rows:
                     cols, m = cols[:at], m[:at]
-                if not len(cols):
-                    continue
-                ok = part[cols] != part[i]
-                if lo != hi:
+                ok = root[cols] != root[i]
+                if where is not None:
                     ok &= where[cols] != where[i]
-                small, large = np.minimum(size[cols], size[i]), np.maximum(size[cols], size[i])
-                ok &= small * t[1] >= large * t[0]
-                if ok.any():
-                    both = size[cols] + size[i]
-                    most = both - 2 * -(-(both * t[0]) // (t[0] + t[1]))
-                    apart = np.bitwise_count(m ^ matrix[w][at]).sum(1, dtype=np.int64)
-                    for j in cols[ok & (apart <= most)]:
-                        yield int(i), int(j)
-
-
-def _candidates(members: DataFrame, t: tuple[int, int], forest: bool) -> DataFrame:
-    """(a, b), a < b: candidates among members (key, m, rep, n, part, sketch) of different parts.
-
-    Members of keys with more than BLOCK of them are dealt into blocks, and each two blocks meet
-    in a task of their own. With forest, a task passes on only pairs that join what it has
-    not joined yet; without, all of them.
+                both = size[cols] + size[i]
+                # t <= shared / (both - shared)  =>  shared >= t both / (1 + t)
+                most = both - 2 * -(-(both * t[0]) // (t[0] + t[1]))
+                ok &= np.abs(size[cols] - size[i]) <= most
+                near = np.flatnonzero(ok)
+                if not len(near):
+                    continue
+                near = near[np.bitwise_count(m[near] ^ matrix[w][at]).sum(1, dtype=np.int64) <= most[near]]
+                for j in cols[near]:
+                    if root[i] != root[j] and (exact is None or exact(i, j)):
+                        low, old = forest.join(ids[i], ids[j]), (root[i], root[j])
+                        root[(root == old[0]) | (root == old[1])] = low
+
+
+def _met(rows: DataFrame, group: str, needed: list[str], close) -> DataFrame:
+    """(a, b): the edges of the forests that close(forest, rows of a group and block) joins; rows have group, m (blocks of the group), rep and needed.
+
+    A group's members are dealt into its blocks, and each two blocks meet in a task of their own.
     """
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in needed)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep = batch.column("rep").to_numpy()
-            blocks = -(-batch.column("m").to_numpy() // BLOCK)
+            rep, blocks = batch.column("rep").to_numpy(), batch.column("m").to_numpy().astype(np.int64)
             own = (mix(rep.astype(np.int64).view(np.uint64), seed=5) % blocks.astype(np.uint64)).astype(np.int64)
             at = np.repeat(np.arange(len(rep)), blocks)
             other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            lo, hi, side = np.minimum(own[at], other), np.maximum(own[at], other), own[at]
-            names = ["key", "rep", "n", "part", "sketch"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in names), pa.array(lo), pa.array(hi), pa.array(side)], names=[*names, "lo", "hi", "side"])
+            lo, hi = np.minimum(own[at], other), np.maximum(own[at], other)
+            block = (lo << 32 | hi << 1 | (own[at] == hi)) if len(at) else lo  # the last bit: the side
+            columns = [batch.column(c) if len(at) == len(rep) else batch.column(c).take(pa.array(at)) for c in ("key", "rep", *needed)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(block)], names=["key", "rep", *needed, "block"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined, seen = _Forest(), set()
-        group: list[tuple] = []
-        out: list[tuple[int, int]] = []
-
-        def close() -> None:
-            if len(group) > 1:
-                ids, sizes, parts, sketches, side = (list(x) for x in zip(*(g[3:] for g in group), strict=True))
-                for i, j in _pairs_of(ids, sizes, parts, sketches, side, group[0][1], group[0][2], t):
-                    a, b = (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
-                    if forest:
-                        if joined.join(a, b):
-                            out.append((a, b))
-                    elif (a, b) not in seen:
-                        if len(seen) > 2_000_000:
-                            seen.clear()
-                        seen.add((a, b))
-                        out.append((a, b))
-            group.clear()
-
+        forest = _Forest()
+        held: list[tuple] = []
+        seen: set[tuple] = set()  # repeated rows of a document
+        now = None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "lo", "hi", "rep", "n", "part", "sketch", "side")]
-            for row in zip(*columns, strict=True):
-                if group and group[0][:3] != row[:3]:
-                    close()
-                group.append(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-                out.clear()
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+            for row in zip(*[batch.column(c).to_pylist() for c in ("key", "block", "rep", *needed)], strict=True):
+                if (row[0], row[1] >> 1) != now:
+                    if len(held) > 1:
+                        close(forest, held)
+                    now, held, seen = (row[0], row[1] >> 1), [], set()
+                if row not in seen:
+                    seen.add(row)
+                    held.append(row[1:])
+        if len(held) > 1:
+            close(forest, held)
+        a, b = forest.edges()
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        held = seen = forest = None
+        give_back()
+
+    packed = rows.withColumnRenamed(group, "key").select("key", "rep", "m", *needed).mapInArrow(pack, f"key bigint, rep bigint, {kinds}, block bigint")
+    dealt = packed.withColumn("pair", F.shiftright("block", 1)).repartition("key", "pair").sortWithinPartitions("key", "pair").drop("pair")
+    return dealt.mapInArrow(meet, "a bigint, b bigint").distinct()
+
 
-    packed = members.mapInArrow(pack, "key bigint, rep bigint, n int, part bigint, sketch binary, lo bigint, hi bigint, side bigint")
-    return packed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(meet, "a bigint, b bigint").distinct()
+def _sides(held: list[tuple]) -> list[int] | None:
+    """Sides of rows whose first field is the block; none if the block meets itself."""
+    block = held[0][0] >> 1
+    return None if block >> 31 == (block & (2**31 - 1)) else [x[0] & 1 for x in held]
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of ids whose sets reach t."""
+def _candidates(members: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Edges that connect all members (key, m, rep, n, sketch) that share a key and whose sketches allow a link."""
+
+    def close(forest: _Forest, held: list[tuple]) -> None:
+        _join_group(forest, [x[1] for x in held], [x[2] for x in held], [x[3] for x in held], _sides(held), t)
+
+    return _met(members.withColumn("m", F.ceil(F.col("m") / BLOCK)), "key", ["n", "sketch"], close)
+
+
+def _verified(groups: DataFrame, docs: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
+    """Edges that connect all ids (id, component) that have a component in common and whose sets reach t. docs: id and text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
                 n, elements = shingle_sets(piece.column("text"), k)
                 own = np.split(elements, np.cumsum(n)[:-1])
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array([x.tobytes() for x in own], pa.binary())], names=["id", "s"])
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("component"), piece.column("m"), pa.array([x.tobytes() for x in own], pa.binary())], names=["rep", "component", "m", "s"])
+        give_back()
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(shared * t[1] >= (len(p) + len(q) - shared) * t[0])
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def close(forest: _Forest, held: list[tuple]) -> None:
+        own = [np.frombuffer(x[2], np.uint64) for x in held]
 
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "dup-ids")
-    n = ids.count()
-    texts = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi")
-    own = written(texts.mapInArrow(sets, "id bigint, s binary"), "dup-sets").dropDuplicates(["id"])
-    found = pairs.join(own.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    return found.select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint")
+        def exact(i: int, j: int) -> bool:
+            shared = len(np.intersect1d(own[i], own[j], assume_unique=True))
+            return shared * t[1] >= (len(own[i]) + len(own[j]) - shared) * t[0]
+
+        _join_group(forest, [x[1] for x in held], [len(x) for x in own], [sketch(x, t, WIDE) for x in own], _sides(held), t, exact)
+
+    sizes = groups.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n") * 8 / SET_BYTES)).alias("m"))
+    wanted = written(groups.join(sizes, "component").select("id", "component", "m"), "dup-groups")
+    n = wanted.count()
+    texts = docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "id")
+    found = written(_met(texts.mapInArrow(sets, "rep bigint, component bigint, m bigint, s binary"), "component", ["s"], close), "dup-linked")
+    discard(wanted)
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, t: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,8 +333,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, t: tuple[int, int] = (8, 10), i
 
     Two documents link if the Jaccard similarity of their sets of k-word shingles is at least
     t[0] / t[1]. Null, empty and blank texts have no shingles and link with nothing. Rows of
-    equal ids are taken as one document; rows without an id keep null representatives and components.
-    An empty table gives an empty result. Other columns of docs are not read.
+    equal ids are one document in as many versions, linked with each other; rows without an id
+    keep null representatives and components. A very long text is a slice of its own. An empty
+    table gives an empty result. Other columns of docs are not read.
     """
     base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
@@ -321,30 +355,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, t: tuple[int, int] = (8, 10), i
                     ],
                     names=["id", "n", "digest", "keys", "sketch"],
                 )
+        give_back()
 
     rows = written(base.mapInArrow(describe, "id bigint, n int, digest binary, keys array<bigint>, sketch binary"), "dup-docs")
     classes = written(rows.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "dup-classes")
-    index = classes.select("rep", F.explode("keys").alias("key"))
     release(spark)
-    shared = index.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
-    members = written(shared, "dup-members")
-    release(spark)
-    described, text_of = classes.select("rep", "n", "sketch"), base.where("id is not null")
-    first = written(_candidates(members.join(described, "rep").withColumn("part", F.col("rep")), t, True), "dup-first")
+    named = rows.select("id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
+    named = written(named, "dup-named")
+    discard(rows)
+    # versions of a document: ids with several representatives
+    several = named.where("n > 0 and id is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("id", "a")
+    versions = written(named.where("n > 0").join(several, "id").where("a < rep").select("a", F.col("rep").alias("b")).distinct(), "dup-versions")
+    index = classes.select("rep", F.explode("keys").alias("key"))
+    members = written(index.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"), "dup-members")
     release(spark)
-    linked = written(_verified(first, text_of, k, t), "dup-linked")
-    labels = written(components(linked), "dup-labels")
+    near = written(_candidates(members.join(classes.select("rep", "n", "sketch"), "rep"), t), "dup-near")
+    discard(members)
     release(spark)
-    parted = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "m", "rep", F.coalesce("component", "rep").alias("part"))
-    # keys all of whose members are in one component have nothing left to ask
-    mixed = parted.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("key")
-    parted = written(parted.join(mixed, "key", "left_semi"), "dup-mixed")
-    second = written(_candidates(parted.join(described, "rep"), t, False).join(first, ["a", "b"], "left_anti"), "dup-second")
+    groups = components(near)
+    sized = classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
+    linked = _verified(groups.join(sized, "id"), base.where("id is not null"), k, t)
+    discard(near, classes)
     release(spark)
-    if second.limit(1).count():
-        linked = written(linked.unionByName(written(_verified(second, text_of, k, t), "dup-linked2")), "dup-all")
-        labels = written(components(linked), "dup-labels2")
-    out = rows.select("id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left")
-    out = out.withColumn("rep", F.when(F.col("id").isNull(), None).otherwise(F.coalesce("rep", "id")))
-    out = out.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    labels = components(linked.unionByName(versions))
+    out = named.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("representative"), F.coalesce("component", "rep").alias("component_id"))

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, new_path, shuffle_parts, tokens, word_hashes
+from .common import bounded_batches, mix, new_path, shuffle_parts, slices, tokens, word_hashes
 from .eliasfano import EliasFano, load, named, part, save
 
-#: Absolute discount; steps of a quantised log10 per unit; text bytes handled at once.
-DISCOUNT, STEPS, SLICE = 0.75, 4096, 2 << 20
+#: Absolute discount; steps of a quantised log10 per unit.
+DISCOUNT, STEPS = 0.75, 4096
 #: Pairs a counting task holds before it hands them on.
 HELD = 4_000_000
 #: The end of a text as a token.
@@ -46,19 +46,6 @@ def restored(q: np.ndarray) -> np.ndarray:
     return 10.0 ** (-q.astype(np.float64) / STEPS)
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch of about SLICE bytes of text; a longer text is a piece of its own."""
-    sizes = np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)), np.int64, batch.num_rows)
-    lo = total = 0
-    for i, size in enumerate(sizes):
-        if total and total + size > SLICE:
-            yield batch.slice(lo, i - lo)
-            lo, total = i, 0
-        total += int(size)
-    if lo < batch.num_rows:
-        yield batch.slice(lo)
-
-
 def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(tokens of each text with its end, their hashes in order)."""
     counts, codes, words = tokens(texts)

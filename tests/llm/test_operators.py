@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from minekit.llm import eliasfano, langzip, mainarticle, mixing, mpegaudio, neardup, ngramlm, ordermin, pieces, sharding, toxicity
+from minekit.llm import common, eliasfano, langzip, mainarticle, mixing, mpegaudio, neardup, ngramlm, ordermin, pieces, sharding, toxicity
 from minekit.llm.common import tokens
 from minekit.llm.components import components
 from minekit.llm.queries import PIECE_MODEL
@@ -234,7 +234,7 @@ def test_pieces(spark):
 
 @pytest.mark.parametrize("order", [2, 3])
 def test_language_model(spark, order, monkeypatch):
-    monkeypatch.setattr(ngramlm, "SLICE", 400)  # several slices of one batch
+    monkeypatch.setattr(common, "SLICE", 400)  # several slices of one batch
     texts = corpus(40)
     train = frame(spark, texts[:30])
     meta = ngramlm.fit(train, order=order, shards=5)
