@@ -3,46 +3,77 @@
 A text, with a space put before it, is a lattice of vocabulary pieces; characters that are
 no piece stand as their UTF-8 bytes. The N best paths come from two passes: forward Viterbi
 gives the best score of every prefix, and a backward A* search from the end uses those scores
-as its heuristic. They are exact, so the search pops nothing but prefixes of its N results.
-
-No piece reaches across a boundary before a space, or across a character that occurs in no
-piece of two or more, so every path passes there. The lattice is searched chunk by chunk
-between such points, equal chunks once per worker, and the N best of the whole text are the N
-best sums of one path per chunk, found by a heap. Scores: a unigram model's own
-log probabilities; for a merge (BPE) model, whose scores are only ranks, -ln(rank + 10).
+as its heuristic. Scores are whole numbers (steps of 1 / STEPS), so sums are exact in any order
+and the heuristic is exact; of equal partial paths the one nearest to the beginning goes first.
+So the search pops nothing but parts of its N results, at most N times their arcs, ties or not.
+
+No piece reaches across a boundary before a space, from a letter or digit to a mark that follows
+none in any piece, or across a character that occurs in no piece of two or more, so every path
+passes there. The lattice is searched chunk by chunk between such points, and the N best of the
+whole text are the N best sums of one path per chunk. The second best path of a chunk leaves
+the best one at the position where that costs least, which the forward pass tells as well; only
+the N - 1 chunks where it costs least can leave their best path, and only those are searched.
+Scores: a unigram model's own log probabilities; for a merge (BPE) model, whose scores are only
+ranks, -ln(rank + 10).
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches
+from .common import bounded_batches, by_slices
 
-#: Chunks a worker remembers; segmentations of a text by default.
-MEMO, NBEST = 400_000, 4
+#: Bytes (about) of chunks that a worker remembers; segmentations of a text by default; steps of a score per unit.
+MEMO, NBEST, STEPS = 48 << 20, 4, 1 << 24
+#: More than any path loses.
+WORST = 1 << 62
 
 
 class Vocabulary:
-    """Pieces (spaces as spaces), their scores, and the ids of the 256 bytes."""
+    """Pieces (spaces as spaces), their scores in steps, and the ids of the 256 bytes."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], byte_score: float) -> None:
-        self.pieces, self.byte_ids, self.byte_score = pieces, byte_ids, byte_score
-        #: Every beginning of a piece, with (id, score) where it is a piece itself.
-        self.starts: dict[str, tuple[int, float] | None] = {p[:k]: None for p in pieces for k in range(1, len(p))} | pieces
-        joined = {c for p in pieces if len(p) > 1 for c in p}
+        self.pieces = {p: ((i,), round(s * STEPS)) for p, (i, s) in pieces.items()}
+        self.byte_ids, self.byte_score = byte_ids, round(byte_score * STEPS)
+        #: Every beginning of a piece, with (ids, score) where it is a piece itself.
+        self.starts: dict[str, tuple[tuple[int], int] | None] = {p[:k]: None for p in pieces for k in range(1, len(p))} | self.pieces
+        #: And every end.
+        self.ends: dict[str, tuple[tuple[int], int] | None] = {p[k:]: None for p in pieces for k in range(1, len(p))} | self.pieces
         if any(" " in p.lstrip(" ") for p in pieces):
             raise ValueError("a piece has a space after another character")
-        inside = "".join(re.escape(c) for c in sorted(joined - {" "}))
-        self.cut = re.compile(f" *[{inside}]+| +|[^{inside} ]" if inside else " +|[^ ]", re.S)
-        self.text_of = {i: p for p, (i, _) in pieces.items()}
+        self.cut = self._cut([p for p in pieces if len(p) > 1])
         self.byte_of = {i: b for b, i in enumerate(byte_ids)}
+        #: Pieces by id; bytes below 128 are whole characters.
+        self.text_of = {i: chr(b) for i, b in self.byte_of.items() if b < 128} | {i: p for p, (i, _) in pieces.items()}
+
+    @staticmethod
+    def _cut(long: list[str]) -> re.Pattern:
+        """An expression whose successive matches are the chunks of a text."""
+
+        def one_of(chars: set[str]) -> str:
+            return "[" + "".join(re.escape(c) for c in sorted(chars)) + "]"
+
+        inside = {c for p in long for c in p} - {" "}
+        letters = {c for c in inside if c.isalnum()}
+        marks = inside - letters
+        follow = {b for p in long for a, b in zip(p, p[1:], strict=False) if a in letters and b in marks}
+        if not inside:
+            return re.compile(" +|[^ ]", re.S)
+        rest = f"| +|[^{one_of(inside)[1:-1]} ]"
+        if not letters:
+            return re.compile(f" *{one_of(marks)}+{rest}", re.S)
+        after = f"(?:{one_of(follow)}{one_of(marks)}*)?" if follow else ""
+        lead = f"{one_of(marks)}*" if marks else ""
+        return re.compile(f" *(?={one_of(inside)}){lead}(?:{one_of(letters)}+{after})*{rest}", re.S)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -62,39 +93,68 @@ class Vocabulary:
         worst = min((s for _, s in pieces.values()), default=0.0)
         return cls(pieces, byte_ids, worst - 1.0)
 
-    def forward(self, chunk: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
-        """(start, score, ids) of the arcs into each position, and the best score of each prefix (Viterbi)."""
-        starts, n, low = self.starts, len(chunk), -math.inf
-        arcs: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        best = [low] * (n + 1)
-        best[0] = 0.0
+    def forward(self, chunks: Iterable[str]) -> Iterator[tuple[str, list[int], list[int], list[tuple[int, ...]]]]:
+        """For each chunk in turn, of each of its prefixes (Viterbi): best score, what the second best path loses (WORST: there is none), ids of the best path.
+
+        What a chunk begins like the one before it is not computed again: sorted chunks cost least. The lists are reused.
+        """
+        get, none = self.ends.get, WORST
+        best, loss, path, before = [0], [none], [()], ""
+        for chunk in chunks:
+            n, k, most = len(chunk), 0, min(len(chunk), len(before))
+            while k < most and chunk[k] == before[k]:
+                k += 1
+            del best[k + 1 :], loss[k + 1 :], path[k + 1 :]
+            while k < n:
+                start, k = k, k + 1
+                found = get(chunk[start:k], 0)
+                arc, at = found or self._bytes(chunk[start]), start
+                top, second = best[start] + arc[1], -none
+                while found != 0 and start:
+                    start -= 1
+                    found = get(chunk[start:k], 0)
+                    if found:
+                        s = best[start] + found[1]
+                        if s > top:
+                            top, second, arc, at = s, top, found, start
+                        elif s > second:
+                            second = s
+                second, here = top - second, loss[at]
+                best.append(top)
+                loss.append(here if here < second else second)
+                path.append(path[at] + arc[0])
+            before = chunk
+            yield chunk, best, loss, path
+
+    def _bytes(self, c: str) -> tuple[tuple[int, ...], int]:
+        data = c.encode("utf-8", "surrogatepass")
+        return tuple(self.byte_ids[b] for b in data), self.byte_score * len(data)
+
+    def arcs(self, chunk: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
+        """(start, score, ids) of the arcs into each position."""
+        get, n = self.starts.get, len(chunk)
+        out: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
         for start in range(n):
-            single, here = False, best[start]
             for end in range(start + 1, n + 1):
-                found = starts.get(chunk[start:end], 0)
+                found = get(chunk[start:end], 0)
                 if found:
-                    arcs[end].append((start, found[1], (found[0],)))
-                    if here + found[1] > best[end]:
-                        best[end] = here + found[1]
-                    single |= end == start + 1
-                elif found == 0:  # no piece begins like this
+                    out[end].append((start, found[1], found[0]))
+                elif found == 0:
                     break
-            if not single:
-                data = chunk[start].encode("utf-8", "surrogatepass")
-                score = self.byte_score * len(data)
-                arcs[start + 1].append((start, score, tuple(self.byte_ids[b] for b in data)))
-                best[start + 1] = max(best[start + 1], here + score)
-        return arcs, best
-
-    def nbest(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids) of a chunk, best first, by A* from its end; fewer if it has fewer paths."""
-        arcs, best = self.forward(chunk)
+            if not self.starts.get(chunk[start]):
+                ids, score = self._bytes(chunk[start])
+                out[start + 1].append((start, score, ids))
+        return out
+
+    def nbest(self, chunk: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """The n best (score in steps, ids) of a chunk, best first, by A* from its end; fewer if it has fewer paths."""
+        best, arcs = next(self.forward([chunk]))[1], self.arcs(chunk)
         push, pop, size = heapq.heappush, heapq.heappop, len(chunk)
-        out: list[tuple[float, tuple[int, ...]]] = []
-        heap: list = [(-best[size], 0, size, 0.0, None)]
+        out: list[tuple[int, tuple[int, ...]]] = []
+        heap: list = [(-best[size], size, 0, 0, None)]
         turn = 0
         while heap:
-            _, _, at, after, path = pop(heap)
+            _, at, _, after, path = pop(heap)
             if at == 0:
                 ids: list[int] = []
                 while path:
@@ -107,11 +167,15 @@ class Vocabulary:
             for start, score, own in arcs[at]:
                 turn += 1
                 g = after + score
-                push(heap, (-(best[start] + g), turn, start, g, (own, path)))
+                push(heap, (-(best[start] + g), start, turn, g, (own, path)))
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space before it is taken away again."""
+        try:
+            return "".join([self.text_of[i] for i in ids])[1:]
+        except KeyError:  # bytes of longer characters among them
+            pass
         out, pending = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -131,32 +195,54 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, n: int = NBEST) -> None:
         self.vocabulary, self.n = vocabulary, n
-        self.memo: dict[str, tuple[float, float, tuple[int, ...]]] = {}
+        self.memo: dict[str, tuple[int, int, tuple[int, ...]]] = {}
+        self.searched: dict[str, list[tuple[int, tuple[int, ...]]]] = {}
+        self.weight = 0
 
-    def _chunk(self, chunk: str) -> tuple[float, float, tuple[int, ...]]:
-        two = self.vocabulary.nbest(chunk, min(2, self.n))
-        if len(self.memo) >= MEMO:
+    def learn(self, chunks: Iterable[str]) -> None:
+        """Afterwards all of chunks are remembered."""
+        if self.weight > MEMO:
             self.memo.clear()
-        found = self.memo[chunk] = (two[0][0], two[0][0] - two[1][0] if len(two) > 1 else math.inf, two[0][1])
+            self.searched.clear()
+            self.weight = 0
+        memo = self.memo
+        for chunk, best, loss, path in self.vocabulary.forward(sorted([c for c in set(chunks) if c not in memo])):
+            memo[chunk] = best[-1], loss[-1], path[-1]
+            self.weight += 250 + len(chunk) + 8 * len(path[-1])
+
+    def _search(self, chunk: str) -> list[tuple[int, tuple[int, ...]]]:
+        found = self.searched.get(chunk)
+        if found is None:
+            found = self.searched[chunk] = self.vocabulary.nbest(chunk, self.n)
+            self.weight += 200 + len(chunk) + sum(150 + 8 * len(x) for _, x in found)
         return found
 
     def __call__(self, text: str | None) -> list[tuple[float, list[tuple[int, ...]]]]:
         """[(score, ids of each chunk)], best first; none for a null or empty text."""
-        if not text:
+        return self.many([text])[text]
+
+    def many(self, texts: Iterable[str | None]) -> dict[str | None, list[tuple[float, list[tuple[int, ...]]]]]:
+        """The same for each different one of texts."""
+        cut = self.vocabulary.cut.findall
+        chunks = {t: cut(" " + t) if t else [] for t in set(texts)}
+        self.learn(chain.from_iterable(chunks.values()))
+        return {t: self._best(own) for t, own in chunks.items()}
+
+    def _best(self, chunks: list[str]) -> list[tuple[float, list[tuple[int, ...]]]]:
+        if not chunks:
             return []
-        get, own = self.memo.get, self._chunk
-        chunks = self.vocabulary.cut.findall(" " + text)
-        found = [get(c) or own(c) for c in chunks]
+        memo = self.memo
+        found = [memo[c] for c in chunks]
         best = [f[2] for f in found]
-        score = math.fsum([f[0] for f in found])
+        score = sum([f[0] for f in found])
         if self.n == 1:
-            return [(score, best)]
+            return [(score / STEPS, best)]
         # only the n - 1 chunks with the least gaps can leave their best path; ties: the earlier chunk
-        near = heapq.nsmallest(self.n - 1, [(f[1], i) for i, f in enumerate(found) if f[1] < math.inf])
-        sums: list[tuple[float, tuple[tuple[int, tuple[int, ...]], ...]]] = [(0.0, ())]
+        near = heapq.nsmallest(self.n - 1, [(f[1], i) for i, f in enumerate(found) if f[1] < WORST])
+        sums: list[tuple[int, tuple[tuple[int, tuple[int, ...]], ...]]] = [(0, ())]
         for _, i in near:  # the n least sums over the near chunks so far
-            options = self.vocabulary.nbest(chunks[i], self.n)
-            sums = heapq.nsmallest(self.n, ((d + options[0][0] - s, taken + ((i, ids),) * (r > 0)) for d, taken in sums for r, (s, ids) in enumerate(options)))
+            options = self._search(chunks[i])
+            sums = heapq.nsmallest(self.n, [(d + options[0][0] - s, taken + ((i, ids),) * (r > 0)) for d, taken in sums for r, (s, ids) in enumerate(options)])
         out = []
         for d, taken in sums:
             ids = best
@@ -164,12 +250,12 @@ class Encoder:
                 ids = best.copy()
                 for i, x in taken:
                     ids[i] = x
-            out.append((score - d, ids))
+            out.append(((score - d) / STEPS, ids))
         return out
 
     @staticmethod
     def ids(found: tuple[float, list[tuple[int, ...]]]) -> list[int]:
-        return [x for own in found[1] for x in own]
+        return list(chain.from_iterable(found[1]))
 
 
 _ENCODERS: dict = {}
@@ -189,33 +275,33 @@ def encode(docs: DataFrame, model_path: str, n: int = NBEST, text_col: str = "te
     nbest_scores are the scores of the n best segmentations, best first; a text with fewer has
     fewer. Null and empty texts have no tokens and no scores. model_path is read by the workers
     (the vocabulary file is part of the installation, like a library). Columns of docs with
-    the new names are replaced. Rows are independent; nothing is shuffled.
+    the new names are replaced. Repeated rows are searched once a slice. Rows are independent;
+    nothing is shuffled.
     """
     made = ["n_tokens", "ids", "nbest_scores"] + ["nbest_ids"] * all_ids
     keep = [c for c in docs.columns if c not in made]
     slim = bounded_batches(docs).select(*keep)
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema), "n_tokens bigint, ids array<int>, nbest_scores array<double>"] + ["nbest_ids array<array<int>>"] * all_ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ready() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         enc = encoder(model_path, n)
-        for batch in batches:
-            ids, lengths, scores, others = [], [], [], []
-            for text in batch.column(text_col).to_pylist():
-                found = enc(text)
-                own = np.array(enc.ids(found[0]) if found else [], np.int32)
-                ids.append(own)
-                lengths.append(len(own))
-                scores.append([f[0] for f in found])
-                if all_ids:
-                    others.append([enc.ids(f) for f in found])
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            columns = [batch.column(c) for c in keep] + [pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(scores, pa.list_(pa.float64()))]
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column(text_col).to_pylist()
+            done = enc.many(texts)  # repeated rows are searched once
+            own = {t: np.array(enc.ids(f[0]) if f else [], np.int32) for t, f in done.items()}
+            ids = [own[t] for t in texts]
+            lengths = [len(x) for x in ids]
+            columns = [batch.column(c) for c in keep]
+            columns += [pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(np.concatenate(ids)))]
+            columns.append(pa.array([[f[0] for f in done[t]] for t in texts], pa.list_(pa.float64())))
             if all_ids:
-                columns.append(pa.array(others, pa.list_(pa.list_(pa.int32()))))
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *made])
+                columns.append(pa.array([[enc.ids(f) for f in done[t]] for t in texts], pa.list_(pa.list_(pa.int32()))))
+            return pa.RecordBatch.from_arrays(columns, names=[*keep, *made])
+
+        return run
 
-    return slim.mapInArrow(run, fields)
+    return slim.mapInArrow(by_slices(text_col, ready), fields)
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -233,22 +319,30 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str
 
 
 def digest_documents(docs: DataFrame, model_path: str, n: int = NBEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256 (of the best ids as little-endian int32), nbest_scores, alternatives (paths found) and round_trip (decoding gives the text back)."""
-    import hashlib
+    """id, n_tokens, ids_sha256 (of the best ids as little-endian int32), nbest_scores, alternatives (paths found) and round_trip (decoding gives the text back).
 
+    Null and empty texts have no tokens, no scores and come back whole. A very long text is a slice
+    of its own. Repeated rows are searched once a slice and each returned. No other column is read.
+    The scores of a merge vocabulary are made of ranks: its segmentations are the best under
+    those, not what its own merges give.
+    """
     slim = bounded_batches(docs).select(id_col, text_col)
     kind = slim.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ready() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         enc = encoder(model_path, n)
-        for batch in batches:
-            rows = []
-            for text in batch.column(text_col).to_pylist():
-                found = enc(text)
-                ids = enc.ids(found[0]) if found else []
-                rows.append((len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), [f[0] for f in found], len(found), enc.vocabulary.decode(ids) == (text or "")))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+
+        def one(text: str | None, found: list) -> tuple:
+            ids = enc.ids(found[0]) if found else []
+            return len(ids), hashlib.sha256(np.array(ids, "<i4")).hexdigest(), [f[0] for f in found], len(found), enc.vocabulary.decode(ids) == (text or "")
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column(text_col).to_pylist()
+            done = {t: one(t, f) for t, f in enc.many(texts).items()}
             kinds = [pa.int64(), pa.string(), pa.list_(pa.float64()), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col)] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[id_col, "n_tokens", "ids_sha256", "nbest_scores", "alternatives", "round_trip"])
+            made = [pa.array([done[t][i] for t in texts], k) for i, k in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([batch.column(id_col), *made], names=[id_col, "n_tokens", "ids_sha256", "nbest_scores", "alternatives", "round_trip"])
+
+        return run
 
-    return slim.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, nbest_scores array<double>, alternatives bigint, round_trip boolean")
+    return slim.mapInArrow(by_slices(text_col, ready), f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, nbest_scores array<double>, alternatives bigint, round_trip boolean")
