@@ -10,7 +10,22 @@ import uuid
 import numpy as np
 
 #: Bits of a block of the zero directory.
-BLOCK = 512
+BLOCK = 256
+#: Position of the r-th one of a byte, at [byte, r].
+_IN_BYTE = np.array([[p for p in range(8) if b >> p & 1] + [8] * (8 - b.bit_count()) for b in range(256)], np.int64)
+_U = np.uint64
+
+
+def select(words: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Position of the r-th one (from 0) of each 64-bit word; it must exist."""
+    ones, high = _U(0x0101010101010101), _U(0x8080808080808080)
+    s = words - ((words >> _U(1)) & _U(0x5555555555555555))
+    s = (s & _U(0x3333333333333333)) + ((s >> _U(2)) & _U(0x3333333333333333))
+    s = ((s + (s >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * ones  # ones up to and with each byte
+    r = r.astype(np.uint64)
+    at = (np.bitwise_count(((r * ones | high) - s) & high) << np.uint8(3)).astype(np.uint64)  # bytes that end before it
+    before = (s << _U(8)) >> at & _U(255)
+    return at.astype(np.int64) + _IN_BYTE[(words >> at & _U(255)).astype(np.intp), (r - before).astype(np.intp)]
 
 
 class EliasFano:
@@ -25,6 +40,7 @@ class EliasFano:
         self.n, self.low_bytes, self.last = (int(x) for x in arrays["meta"])
         self.low, self.high, self.zeros = arrays["low"], arrays["high"], arrays["zeros"]
         self.words = self.high.view(np.uint64)
+        self.ones = np.arange(len(self.zeros)) * BLOCK - self.zeros
 
     @staticmethod
     def encode(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -32,7 +48,7 @@ class EliasFano:
         n, last = len(values), int(values[-1]) if len(values) else 0
         k = min(range(8), key=lambda b: (n * 8 * b + (last >> (8 * b)) if (last >> (8 * b)) < 64 * (n + 64) else 1 << 62 - b))
         upper = (values >> np.uint64(8 * k)).astype(np.int64)
-        bits = n + int(upper[-1] if n else 0) + 1
+        bits = n + int(upper[-1] if n else 0) + 2  # a zero behind the last value
         size = -(-bits // BLOCK) * BLOCK
         flags = np.zeros(size, bool)
         flags[upper + np.arange(n)] = True
@@ -54,12 +70,7 @@ class EliasFano:
             if not on.any():
                 break
             left, at = np.where(on, left - here, left), at + on
-        word, pos = ~self.words[at], np.zeros(len(k), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):
-            here = np.bitwise_count((word >> pos.astype(np.uint64)) & np.uint64((1 << step) - 1)).astype(np.int64)
-            on = left >= here
-            left, pos = np.where(on, left - here, left), pos + on * step
-        return at * 64 + pos
+        return at * 64 + select(~self.words[at], left)
 
     def _lows(self, at: np.ndarray) -> np.ndarray:
         rows, out = self.low[at], np.zeros(len(at), np.uint64)
@@ -76,10 +87,16 @@ class EliasFano:
             return out
         keys = keys[inside]
         high = (keys >> np.uint64(8 * self.low_bytes)).astype(np.int64)
-        end = self._select0(high) - high
-        start = np.zeros(len(keys), np.int64)
+        # a high value's entries lie between the zero before it and the next one, mostly in the same word
+        bit = np.full(len(keys), -1, np.int64)
         some = high > 0
-        start[some] = self._select0(high[some] - 1) - (high[some] - 1)
+        bit[some] = self._select0(high[some] - 1)
+        start, bit = bit + 1 - high, bit + 1
+        rest = ~self.words[bit >> 6] >> (bit & 63).astype(np.uint64)
+        end = start + np.bitwise_count((rest & (~rest + _U(1))) - _U(1))
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            end[far] = self._select0(high[far]) - high[far]
         low = keys & np.uint64((1 << (8 * self.low_bytes)) - 1)
         if lo is not None and hi is not None:
             start, end = np.maximum(start, lo[inside]), np.minimum(end, hi[inside])
@@ -97,19 +114,13 @@ class EliasFano:
     def get(self, index: np.ndarray) -> np.ndarray:
         """Values at rising or arbitrary indices (select of ones, by bisection over the zero directory)."""
         index = np.asarray(index, np.int64)
-        ones = np.arange(len(self.zeros)) * BLOCK - self.zeros
-        block = np.searchsorted(ones, index, "right") - 1
-        left, at = index - ones[block], block * (BLOCK // 64)
+        block = np.searchsorted(self.ones, index, "right") - 1
+        left, at = index - self.ones[block], block * (BLOCK // 64)
         for _ in range(BLOCK // 64 - 1):
             here = np.bitwise_count(self.words[at]).astype(np.int64)
             on = left >= here
             left, at = np.where(on, left - here, left), at + on
-        word, pos = self.words[at], np.zeros(len(index), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):
-            here = np.bitwise_count((word >> pos.astype(np.uint64)) & np.uint64((1 << step) - 1)).astype(np.int64)
-            on = left >= here
-            left, pos = np.where(on, left - here, left), pos + on * step
-        upper = (at * 64 + pos - index).astype(np.uint64)
+        upper = (at * 64 + select(self.words[at], left) - index).astype(np.uint64)
         return (upper << np.uint64(8 * self.low_bytes)) | self._lows(index)
 
 
@@ -152,6 +163,7 @@ def load(uri: str) -> dict[str, np.ndarray]:
             raw = np.memmap(copy.name, np.uint8, "r")
     else:
         raw = np.memmap(path, np.uint8, "r")
+    raw = raw.view(np.ndarray)
     size = int.from_bytes(raw[:8].tobytes(), "little")
     head, base, out = json.loads(raw[8 : 8 + size].tobytes()), 8 + size, {}
     for name, (kind, shape, at) in head.items():

@@ -1,9 +1,10 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Level 1 holds the vocabulary: hashes of the training words as an Elias-Fano sequence (a word's
-id is its rank) and their counts. Level n holds, in shards, contexts and their successors:
+id is its rank) and their counts. Level n holds, in shards, contexts and their successors; what
+begins with the same two words is in the same shard on every level:
 
-- contexts: the positions of nodes of level n - 1, Elias-Fano;
+- contexts: word ids (level 2) or the shard's own nodes of level n - 1, Elias-Fano;
 - pointers: where each context's successors begin, rising, Elias-Fano;
 - successors: word ids, made to rise over all contexts by adding (context's place * ids), Elias-Fano,
   so a successor is searched relative to its context, between its context's pointers;
@@ -11,9 +12,10 @@ id is its rank) and their counts. Level n holds, in shards, contexts and their s
   context leaves to the lower level: p(w | h) = (c(hw) - D) / c(h) + D * T(h) / c(h) * p(w | h').
 
 The lowest level is (c + 0.5) / (N + 0.5 (V + 1)), so every distribution sums to one, unknown
-words included. Shards are built by Spark tasks from counts that map tasks have summed
-beforehand, and are files in the shared folder that scoring tasks map into memory.
-Successors of very frequent words are spread over shards.
+words included. All levels are counted in one pass, in which an n-gram is its beginning (by place
+in the level below) and a word. Shards are built by Spark tasks from counts that map tasks have
+summed beforehand, and are files in the shared folder that scoring tasks map into memory; their
+number grows with the corpus. Successors of very frequent words are spread over shards.
 """
 
 from __future__ import annotations
@@ -26,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, new_path, shuffle_parts, slices, tokens, word_hashes
+from .common import bounded_batches, give_back, mix, new_path, shuffle_parts, slices, tokens, word_hashes
 from .eliasfano import EliasFano, load, named, part, save
 
 #: Absolute discount; steps of a quantised log10 per unit.
 DISCOUNT, STEPS = 0.75, 4096
-#: Pairs a counting task holds before it hands them on.
-HELD = 4_000_000
+#: N-grams a counting task holds before it hands them on; tokens of the corpus for a shard.
+HELD, SHARD_TOKENS = 4_000_000, 8_000_000
 #: The end of a text as a token.
 END = np.uint64(0x9D5C3A7F11E60B29)
 
@@ -46,21 +48,21 @@ def restored(q: np.ndarray) -> np.ndarray:
     return 10.0 ** (-q.astype(np.float64) / STEPS)
 
 
-def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens of each text with its end, their hashes in order)."""
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of each text with its end, the code of each, the distinct tokens' hashes by code; the end is the last)."""
     counts, codes, words = tokens(texts)
-    own = word_hashes(words)[codes] if len(codes) else np.zeros(0, np.uint64)
-    ends = np.cumsum(counts)
-    return counts + 1, np.insert(own, ends, END)
+    h = np.append(word_hashes(words), END)
+    return counts + 1, np.insert(codes, np.cumsum(counts), len(h) - 1), h
 
 
 @dataclass
 class Meta:
-    """What the driver knows of a model: bounded by the number of shards."""
+    """What the driver knows of a model: bounded by the number of shards (of the vocabulary) and parts (of the other levels)."""
 
     path: str
     order: int
     shards: int
+    parts: int
     starts: list[int]
     words: int
     total: int
@@ -87,18 +89,17 @@ class Model:
         self.hot = np.array(sorted(meta.hot), np.int64)
 
     def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id of each hash or -1, its training count)."""
-        unique, back = np.unique(h, return_inverse=True)
-        out, count = np.full(len(unique), -1, np.int64), np.zeros(len(unique), np.int64)
-        place = bucket_of(unique, self.meta.shards)
+        """(id of each of these different hashes or -1, its training count)."""
+        out, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
+        place = bucket_of(h, self.meta.shards)
         for b in np.unique(place):
             if self.vocabulary[b]:
                 rows = np.flatnonzero(place == b)
-                found = self.hashes[b].find(unique[rows])
+                found = self.hashes[b].find(h[rows])
                 known = found >= 0
                 out[rows[known]] = found[known] + self.meta.starts[b]
                 count[rows[known]] = self.vocabulary[b]["count"][found[known]]
-        return out[back], count[back]
+        return out, count
 
     def lookup(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position of each node or -1, probability share of it, weight of its context for the level below).
@@ -117,7 +118,12 @@ class Model:
         group, u = np.cumsum(first) - 1, np.flatnonzero(first)
         uc, uw = own[u], w[u]
         ua, up, ug = np.full(len(u), -1, np.int64), np.zeros(len(u)), np.ones(len(u))
-        place = shard_of(uc, uw, self.hot if level == 2 else self.hot[:0], self.meta.shards)
+        if level == 2:
+            place = shard_of(uc, uw, self.hot, self.meta.parts)
+        else:  # where the node of the level below is, by its own place there
+            begins = np.array([at for _, at in self.meta.levels[level - 1]], np.int64)
+            place = np.searchsorted(begins, uc, "right") - 1
+            uc = uc - begins[place]
         for s in np.unique(place):
             f = self.files[level][s]
             if f:
@@ -144,21 +150,27 @@ class Model:
         at[rows], p[rows], gamma[rows] = ua[group], up[group], ug[group]
         return at, p, gamma
 
-    def tokens(self, lengths: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(ids, counts, probability, positions by level) of the tokens of texts of these lengths."""
-        ids, count = self.ids(h)
+    def tokens(self, lengths: np.ndarray, codes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(training count, probability) of each token of texts of these lengths; codes are places in h."""
+        own, many = self.ids(h)
+        ids, count = own[codes], many[codes]
         p = (count + 0.5) / self.bound
-        first = np.zeros(len(h), bool)
-        first[np.concatenate([[0], np.cumsum(lengths)[:-1]])[: len(lengths)]] = True
-        node, nodes = ids, [ids]
+        first = begins(lengths, len(codes))
+        node = ids
         for level in range(2, self.meta.order + 1):
             context = np.roll(node, 1)
-            # before a text stands its beginning: a context of level 1 with the id behind the last word
+            # before a text stands its beginning: a context of level 2 with the id behind the last word
             context[first] = self.meta.words if level == 2 else -1
             node, share, gamma = self.lookup(level, context, ids)
             p = share + gamma * p
-            nodes.append(node)
-        return ids, count, p, nodes
+        return count, p
+
+
+def begins(lengths: np.ndarray, n: int) -> np.ndarray:
+    """Which of n tokens begin a text."""
+    first = np.zeros(n, bool)
+    first[np.cumsum(lengths) - lengths] = True
+    return first
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -210,7 +222,9 @@ def fit(train: DataFrame, text_col: str = "text", order: int = 2, shards: int |
 
         for batch in batches:
             for piece in slices(batch, "text"):
-                held.append(np.unique(hashed(piece.column(0))[1], return_counts=True))
+                _, codes, h = hashed(piece.column(0))
+                order = np.argsort(h)
+                held.append((h[order], np.bincount(codes, minlength=len(h))[order]))
             if sum(len(x[0]) for x in held) > 4_000_000:
                 held[:] = [merged()]
                 if len(held[0][0]) > 2_000_000:
@@ -234,104 +248,153 @@ def fit(train: DataFrame, text_col: str = "text", order: int = 2, shards: int |
         starts.append(at)
         at += rows[b]["n"] if b in rows else 0
     total = sum(r["total"] for r in rows.values())
-    # contexts with more than a quarter of a shard's mean: at most 4 * shards of them
-    hot = {starts[b] + i: c for b, r in rows.items() for i, c in zip(r["top"], r["counts"], strict=True) if c > total / (4 * shards)}
+    parts = max(shards, -(-total // SHARD_TOKENS))
+    # contexts with more than a quarter of a shard's mean: at most 4 * parts of them
+    hot = {starts[b] + i: c for b, r in rows.items() for i, c in zip(r["top"], r["counts"], strict=True) if c > total / (4 * parts)}
     documents = sum(r["documents"] for r in rows.values())
-    if documents > total / (4 * shards):
+    if documents > total / (4 * parts):
         hot[at] = documents
-    meta = Meta(path, 1, shards, starts, at, total, documents, hot, {}, {})
-    for level in range(2, order + 1 if total else 2):
-        _build_level(docs, meta, level)
+    meta = Meta(path, 1, shards, parts, starts, at, total, documents, hot, {}, {})
+    if order > 1 and total:
+        _build_levels(docs, meta, order)
     return meta
 
 
-def _build_level(docs: DataFrame, meta: Meta, level: int) -> None:
-    """Counts (context, word) pairs of one level and writes its shards; meta then knows the level."""
-    hot = np.array(sorted(meta.hot), np.int64) if level == 2 else np.zeros(0, np.int64)
-    shards, words, path, known = meta.shards, meta.words, meta.path, meta.hot
-    wide_c, wide_w = ("<u8" if level > 2 or words >= 2**32 - 1 else "<u4"), ("<u8" if words >= 2**32 - 1 else "<u4")
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(meta)
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # pairs and their counts
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            pair, count = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(pair)
-            pair, count = pair[order], count[order]
-            at = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-            return pair[at], np.add.reduceat(count, at)
-
-        def blobs(pair: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-            context, ids = (pair // np.uint64(words + 2)).astype(np.int64), (pair % np.uint64(words + 2)).astype(np.int64) - 1
-            place = shard_of(context, ids, hot, shards)
-            order = np.argsort(place, kind="stable")
-            place, context, ids, count = place[order], context[order], ids[order], count[order]
-            # counts in one byte: a pair counted more often takes several entries
-            again = -(-count // 255)
-            at, few = np.repeat(np.arange(len(count)), again), np.repeat(count, again)
-            nth = np.arange(len(at)) - np.repeat(np.cumsum(again) - again, again)
-            few = np.minimum(few - 255 * nth, 255).astype(np.uint8)
-            return _blobs(place[at], [context[at].astype(wide_c), ids[at].astype(wide_w), few], ["context", "word", "few"])
-
+@dataclass
+class Grams:
+    """Counted n-grams of one level, sorted: parent (id of the word before on level 2, else place in the level below), word and count."""
+
+    parent: np.ndarray
+    word: np.ndarray
+    count: np.ndarray
+
+    @staticmethod
+    def summed(parent: np.ndarray, word: np.ndarray, count: np.ndarray | None, words: int) -> tuple[Grams, np.ndarray]:
+        """(the different n-grams with their counts, the place of each given one among them)."""
+        key, place = np.unique(_pair(parent, word, words), return_inverse=True)
+        many = np.bincount(place, count, len(key)).astype(np.int64)
+        wide = np.uint64(words + 2)
+        return Grams((key // wide).astype(np.int64), (key % wide).astype(np.int64) - 1, many), place
+
+
+def _merged(held: list[list[Grams]], words: int) -> list[Grams]:
+    """The sums, level by level, of what slices counted."""
+    out: list[Grams] = []
+    places: list[np.ndarray] = []
+    for level in range(len(held[0])):
+        parts = [x[level] for x in held]
+        parent = np.concatenate([places[i][g.parent] if level else g.parent for i, g in enumerate(parts)])
+        total, at = Grams.summed(parent, np.concatenate([g.word for g in parts]), np.concatenate([g.count for g in parts]), words)
+        places = np.split(at, np.cumsum([len(g.word) for g in parts])[:-1])
+        out.append(total)
+    return out
+
+
+def _build_levels(docs: DataFrame, meta: Meta, order: int) -> None:
+    """Counts n-grams of 2 to order words in one pass and writes the shards of their levels; meta then knows them."""
+    hot, known = np.array(sorted(meta.hot), np.int64), meta.hot
+    parts, words, path, levels = meta.parts, meta.words, meta.path, range(order - 1)
+    wide = "<u8" if words >= 2**32 - 1 else "<u4"
+    names = [f"{c}{i}" for i in levels for c in ("parent", "word", "few")]
+
+    def counted(piece: pa.Array, model: Model) -> list[Grams]:
+        lengths, codes, h = hashed(piece)
+        ids = model.ids(h)[0][codes]
+        first, out, at = begins(lengths, len(ids)), [], np.arange(len(ids))
+        context = np.roll(ids, 1)
+        context[first] = words
+        for _ in levels:
+            grams, place = Grams.summed(context, ids[at], None, words)
+            out.append(grams)
+            # the n-gram that ends at a token is the beginning of the one that ends at the next token of its text
+            follows = np.flatnonzero(~first[(at + 1) % len(ids)])
+            context, at = place[follows], at[follows] + 1
+        return out
+
+    def blobs(grams: list[Grams]) -> pa.RecordBatch:
+        """A row for each part, with its n-grams of every level; parents of the upper levels are places in the row's level below."""
+        part_of = shard_of(grams[0].parent, grams[0].word, hot, parts)
+        made: dict[int, list[bytes]] = {int(x): [] for x in np.unique(part_of)}
+        own_of, inner = list(made.values()), np.zeros(0, np.int64)
+        for i, g in enumerate(grams):
+            if i:
+                part_of = part_of[g.parent]
+            rows = np.argsort(part_of, kind="stable")
+            edge = np.searchsorted(part_of[rows], np.append(list(made), parts))  # where each part's rows begin
+            parent = inner[g.parent] if i else g.parent
+            for at, (lo, hi) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                own = rows[lo:hi]
+                count = g.count[own]
+                few = np.minimum(count, 255).astype(np.uint8).tobytes() + count[count >= 255].astype("<i8").tobytes()  # in one byte; large ones follow in 8
+                own_of[at] += [parent[own].astype("<u4" if i else wide).tobytes(), g.word[own].astype(wide).tobytes(), few]
+            inner = np.empty(len(rows), np.int64)
+            inner[rows] = np.arange(len(rows)) - np.repeat(edge[:-1], np.diff(edge))
+        arrays = [pa.array(list(made), pa.int32())] + [pa.array([own[i] for own in made.values()], pa.binary()) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays(arrays, names=["place", *names])
+
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held = Model(meta), []
         for batch in batches:
             for piece in slices(batch, "text"):
-                lengths, h = hashed(piece.column(0))
-                if level == 2:
-                    ids = node = model.ids(h)[0]
-                else:
-                    ids, _, _, nodes = model.tokens(lengths, h)
-                    node = nodes[-1]
-                first = np.zeros(len(h), bool)
-                first[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = True
-                context = np.roll(node, 1)
-                context[first] = words if level == 2 else -1
-                if (context >= 0).any():
-                    held.append(np.unique(_pair(context[context >= 0], ids[context >= 0], words), return_counts=True))
-            if sum(len(x[0]) for x in held) > HELD:
-                held[:] = [merged()]
-                if len(held[0][0]) > HELD // 2:
-                    yield blobs(*held[0])
-                    held.clear()
+                held.append(counted(piece.column(0), model))
+                if sum(len(g.word) for x in held for g in x) > HELD:
+                    held[:] = [_merged(held, words)]
+                    if sum(len(g.word) for g in held[0]) > HELD // 2:
+                        yield blobs(held[0])
+                        held.clear()
         if held:
-            yield blobs(*merged())
+            yield blobs(_merged(held, words))
+        model = held = None
+        give_back()
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
-        context, word = _joined(table, "context", wide_c), _joined(table, "word", wide_w)
-        count = _joined(table, "few", "u1").astype(np.int64)
-        order = np.argsort(_pair(context, word.astype(np.int64), words))
-        context, word, count = context[order], word[order], count[order]
-        first = np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
-        at = np.flatnonzero(first)
-        count, context, word = np.add.reduceat(count, at), context[at], word[at]
-        begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        n = np.diff(np.append(begin, len(context)))
-        own, sums = context[begin].astype(np.int64), np.add.reduceat(count, begin)
-        spread = np.isin(own, hot)
-        for i in np.flatnonzero(spread):
-            sums[i] = known[int(own[i])]
-        place = np.repeat(np.arange(len(begin), dtype=np.uint64), n)
-        save(
-            f"{path}/level{level}-{key[0].as_py()}",
-            named("contexts", EliasFano.encode(own.astype(np.uint64)))
-            | named("pointers", EliasFano.encode(np.append(begin, len(context)).astype(np.uint64)))
-            | named("next", EliasFano.encode(place * np.uint64(words) + word.astype(np.uint64)))
-            | {"p": quantise((count - DISCOUNT) / np.repeat(sums, n)), "gamma": quantise(np.minimum(1.0, DISCOUNT * n / sums))},
-        )
-        return pa.table({"place": pa.array([key[0].as_py()], pa.int32()), "n": [len(context)], "hot": pa.array([own[spread].tolist()], pa.list_(pa.int64())), "parts": pa.array([n[spread].tolist()], pa.list_(pa.int64()))})
-
-    rows = {r["place"]: r for r in docs.mapInArrow(count_pairs, "place int, context binary, word binary, few binary").groupBy("place").applyInArrow(build, "place int, n bigint, hot array<bigint>, parts array<bigint>").collect()}
-    parts, at = [], 0
-    for s in range(shards):
-        n = rows[s]["n"] if s in rows else 0
-        parts.append((n, at))
-        at += n
-    if level == 2:
-        for r in rows.values():
-            for h, n in zip(r["hot"], r["parts"], strict=True):
-                meta.spread[h] = meta.spread.get(h, 0) + n
-    meta.levels[level] = parts
-    meta.order = level
+        part_no, held = key[0].as_py(), []
+        for row in range(table.num_rows):
+            own = []
+            for i in levels:
+                word = np.frombuffer(table.column(f"word{i}")[row].as_py(), wide).astype(np.int64)
+                few = table.column(f"few{i}")[row].as_py()
+                count = np.frombuffer(few[: len(word)], np.uint8).astype(np.int64)
+                count[count == 255] = np.frombuffer(few[len(word) :], "<i8")
+                own.append(Grams(np.frombuffer(table.column(f"parent{i}")[row].as_py(), "<u4" if i else wide).astype(np.int64), word, count))
+            held.append(own)
+        grams = _merged(held, words)
+        found: dict = {"place": pa.array([part_no], pa.int32())}
+        spread_ids, spread_n = [], []
+        for i, g in enumerate(grams):
+            begin = np.flatnonzero(np.concatenate([[True], g.parent[1:] != g.parent[:-1]])) if len(g.parent) else np.zeros(0, np.int64)
+            n = np.diff(np.append(begin, len(g.parent)))
+            own, sums = g.parent[begin], np.add.reduceat(g.count, begin) if len(begin) else g.count
+            if i == 0:
+                for j in np.flatnonzero(np.isin(own, hot)):
+                    sums[j] = known[int(own[j])]
+                    spread_ids.append(int(own[j]))
+                    spread_n.append(int(n[j]))
+            nth = np.repeat(np.arange(len(begin), dtype=np.uint64), n)
+            if len(g.word):
+                save(
+                    f"{path}/level{i + 2}-{part_no}",
+                    named("contexts", EliasFano.encode(own.astype(np.uint64)))
+                    | named("pointers", EliasFano.encode(np.append(begin, len(g.word)).astype(np.uint64)))
+                    | named("next", EliasFano.encode(nth * np.uint64(words) + g.word.astype(np.uint64)))
+                    | {"p": quantise((g.count - DISCOUNT) / np.repeat(sums, n)), "gamma": quantise(np.minimum(1.0, DISCOUNT * n / sums))},
+                )
+            found[f"n{i}"] = pa.array([len(g.word)], pa.int64())
+        return pa.table(found | {"hot": pa.array([spread_ids], pa.list_(pa.int64())), "parts": pa.array([spread_n], pa.list_(pa.int64()))})
+
+    fields = "place int, " + ", ".join(f"n{i} bigint" for i in levels) + ", hot array<bigint>, parts array<bigint>"
+    rows = {r["place"]: r for r in docs.mapInArrow(count_grams, "place int, " + ", ".join(f"{c} binary" for c in names)).groupBy("place").applyInArrow(build, fields).collect()}
+    for i in levels:
+        own, at = [], 0
+        for s in range(parts):
+            n = rows[s][f"n{i}"] if s in rows else 0
+            own.append((n, at))
+            at += n
+        meta.levels[i + 2] = own
+    for r in rows.values():
+        for h, n in zip(r["hot"], r["parts"], strict=True):
+            meta.spread[h] = meta.spread.get(h, 0) + n
+    meta.order = order
 
 
 _MODELS: dict[str, Model] = {}
@@ -340,8 +403,9 @@ _MODELS: dict[str, Model] = {}
 def score(docs: DataFrame, meta: Meta, text_col: str = "text") -> DataFrame:
     """docs without text, with n_tokens, n_known, train_tokens, base_score and score (log10).
 
-    The end of a text is a token, so null and empty texts have one. Columns of docs with these
-    names are replaced. Rows are independent; nothing is shuffled.
+    The end of a text is a token, so null and empty texts have one. A very long text is a slice of
+    its own; repeated rows score alike. Columns of docs with these names are replaced. Rows are
+    independent; nothing is shuffled.
     """
     made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     keep = [c for c in docs.columns if c not in (text_col, *made)]
@@ -355,12 +419,13 @@ def score(docs: DataFrame, meta: Meta, text_col: str = "text") -> DataFrame:
         model = _MODELS[meta.path]
         for batch in batches:
             for piece in slices(batch, text_col):
-                lengths, h = hashed(piece.column(text_col))
+                lengths, codes, h = hashed(piece.column(text_col))
                 at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                _, count, p, _ = model.tokens(lengths, h)
+                count, p = model.tokens(lengths, codes, h)
                 base, full = np.log10((count + 0.5) / model.bound), np.log10(np.maximum(p, 1e-300))
                 columns = [piece.column(c) for c in keep]
                 columns += [pa.array(lengths.astype(np.int64)), pa.array(np.add.reduceat((count > 0).astype(np.int64), at)), pa.array(np.full(len(lengths), meta.total, np.int64)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(full, at))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *made])
+        give_back()
 
     return slim.mapInArrow(run, fields)
