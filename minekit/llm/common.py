@@ -82,6 +82,8 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 #: Rows of a batch that Spark hands to Python; bytes of text that a kernel handles at once.
 BATCH_ROWS, SLICE = 2048, 2 << 20
+#: Bytes of a word that is hashed by arrays.
+LONG = 32
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -165,8 +167,27 @@ def tokens(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    """64-bit hashes of distinct words."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
+    """64-bit hashes of distinct words: of up to LONG bytes by arrays, of longer ones one by one."""
+    words = words.cast(pa.large_binary())
+    if isinstance(words, pa.ChunkedArray):
+        words = words.combine_chunks()
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    size, out = np.diff(offsets), np.zeros(n, np.uint64)
+    for k in range(1, LONG // 8 + 1):
+        rows = np.flatnonzero((size + 7) // 8 == k)
+        if len(rows):
+            inside = np.arange(8 * k)
+            at = np.minimum(offsets[rows][:, None] + inside, len(data) - 1)
+            padded = np.where(inside < size[rows][:, None], data[at], np.uint8(0)).astype(np.uint8)
+            parts = np.ascontiguousarray(padded).view("<u8")
+            out[rows] = mix(*parts.T, size[rows].astype(np.uint64), seed=9)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(words[i].as_py())
+    return out
 
 
 def mix(*columns: np.ndarray, seed: int = 0) -> np.ndarray:
