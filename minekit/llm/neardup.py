@@ -245,19 +245,6 @@ def _met(rows: DataFrame, group: str, needed: list[str], close) -> DataFrame:
 
     A group's members are dealt into its blocks, and each two blocks meet in a task of their own.
     """
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in needed)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rep, blocks = batch.column("rep").to_numpy(), batch.column("m").to_numpy().astype(np.int64)
-            own = (mix(rep.astype(np.int64).view(np.uint64), seed=5) % blocks.astype(np.uint64)).astype(np.int64)
-            at = np.repeat(np.arange(len(rep)), blocks)
-            other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            lo, hi = np.minimum(own[at], other), np.maximum(own[at], other)
-            block = (lo << 32 | hi << 1 | (own[at] == hi)) if len(at) else lo  # the last bit: the side
-            columns = [batch.column(c) if len(at) == len(rep) else batch.column(c).take(pa.array(at)) for c in ("key", "rep", *needed)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(block)], names=["key", "rep", *needed, "block"])
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
         held: list[tuple] = []
@@ -279,8 +266,12 @@ def _met(rows: DataFrame, group: str, needed: list[str], close) -> DataFrame:
         held = seen = forest = None
         give_back()
 
-    packed = rows.withColumnRenamed(group, "key").select("key", "rep", "m", *needed).mapInArrow(pack, f"key bigint, rep bigint, {kinds}, block bigint")
-    dealt = packed.withColumn("pair", F.shiftright("block", 1)).repartition("key", "pair").sortWithinPartitions("key", "pair").drop("pair")
+    own, other = F.col("own"), F.col("other")
+    dealt = rows.withColumnRenamed(group, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("m")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
+    pair = F.shiftleft(F.least(own, other), 31).bitwiseOR(F.greatest(own, other))
+    dealt = dealt.select("key", "rep", *needed, (pair * 2 + (own >= other).cast("bigint")).alias("block"))  # the last bit: the side
+    dealt = dealt.withColumn("pair", F.shiftright("block", 1)).repartition("key", "pair").sortWithinPartitions("key", "pair").drop("pair")
     return dealt.mapInArrow(meet, "a bigint, b bigint").distinct()
 
 

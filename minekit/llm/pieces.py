@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from .common import bounded_batches, by_slices
 
 #: Bytes (about) of chunks that a worker remembers; segmentations of a text by default; steps of a score per unit.
-MEMO, NBEST, STEPS = 48 << 20, 4, 1 << 24
+MEMO, NBEST, STEPS = 24 << 20, 4, 1 << 24
 #: More than any path loses.
 WORST = 1 << 62
 
@@ -44,9 +44,7 @@ class Vocabulary:
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], byte_score: float) -> None:
         self.pieces = {p: ((i,), round(s * STEPS)) for p, (i, s) in pieces.items()}
         self.byte_ids, self.byte_score = byte_ids, round(byte_score * STEPS)
-        #: Every beginning of a piece, with (ids, score) where it is a piece itself.
-        self.starts: dict[str, tuple[tuple[int], int] | None] = {p[:k]: None for p in pieces for k in range(1, len(p))} | self.pieces
-        #: And every end.
+        #: Every end of a piece, with (ids, score) where it is a piece itself.
         self.ends: dict[str, tuple[tuple[int], int] | None] = {p[k:]: None for p in pieces for k in range(1, len(p))} | self.pieces
         if any(" " in p.lstrip(" ") for p in pieces):
             raise ValueError("a piece has a space after another character")
@@ -132,18 +130,18 @@ class Vocabulary:
 
     def arcs(self, chunk: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """(start, score, ids) of the arcs into each position."""
-        get, n = self.starts.get, len(chunk)
-        out: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        for start in range(n):
-            for end in range(start + 1, n + 1):
-                found = get(chunk[start:end], 0)
+        out: list[list[tuple[int, int, tuple[int, ...]]]] = [[]]
+        for end in range(1, len(chunk) + 1):
+            start = end - 1
+            found = self.ends.get(chunk[start:end], 0)
+            ids, score = found or self._bytes(chunk[start])
+            own = [(start, score, ids)]
+            while found != 0 and start:
+                start -= 1
+                found = self.ends.get(chunk[start:end], 0)
                 if found:
-                    out[end].append((start, found[1], found[0]))
-                elif found == 0:
-                    break
-            if not self.starts.get(chunk[start]):
-                ids, score = self._bytes(chunk[start])
-                out[start + 1].append((start, score, ids))
+                    own.append((start, found[1], found[0]))
+            out.append(own)
         return out
 
     def nbest(self, chunk: str, n: int) -> list[tuple[int, tuple[int, ...]]]:

@@ -80,11 +80,11 @@ def test_toxicity(spark):
     plain = ["house", "tree", "river", "stone", "light", "garden", "window", "letter"]
     rows = [(" ".join(rng.choices(plain, k=20)) + (" what an idiot " if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
     model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))
-    texts = ["the river idiot", "the river stone", "what an 1d10t", "i d i o t tree", "what an idiooooot", None, "", "an i.d.i.o.t", "tree " * 5000]
+    texts = ["the river idiot", "the river stone", "what an 1d10t", "i d i o t tree", "what an idiooooot", None, "", "an i.d.i.o.t", "tree " * 5000, "such a i d i o t", "an id iot there", "an !diot", "w" * 100_000]
     got = {r["doc_id"]: r for r in toxicity.score(frame(spark, texts), model).collect()}
-    assert [got[i]["predicted"] for i in range(len(texts))] == [1, 0, 1, 1, 1, 0, 0, 1, 0]
+    assert [got[i]["predicted"] for i in range(len(texts))] == [1, 0, 1, 1, 1, 0, 0, 1, 0, 1, 1, 1, 0]
     assert all(0 <= r["score"] <= 1 for r in got.values())
-    assert toxicity.decode("1d10t", model.chars) == "idiot" and toxicity.restore("house", model.chars) == "house"
+    assert toxicity.decode("1d10t", model.chars) == "idiot" and toxicity.readings("house", model.chars) == ["house"]
     none = toxicity.fit(spark.createDataFrame([], "text string, toxic int"))
     assert {r["predicted"] for r in toxicity.score(frame(spark, texts), none).collect()} == {0}
 
@@ -108,11 +108,11 @@ def test_decode_is_the_cheapest_path():
             for rest, cost in paths(text, i + taken):
                 yield letters + rest, price + cost
 
-    def cost(word):
-        w = f"^^{word}$"
-        return sum(model.cost(w[i : i + 3]) for i in range(len(w) - 2))
+    def cost(words):
+        framed = [f"^^{w}$" for w in words.split(" ") if w]
+        return sum(model.cost(w[i : i + 3]) for w in framed for i in range(len(w) - 2))
 
-    for text in ("1d10t", "i.d", "iddd", "0|t"):
+    for text in ("1d10t", "i.d", "iddd", "0|t", "i d", "i d i"):
         best = min(p + cost(w) for w, p in paths(text))
         got = toxicity.decode(text, model)
         assert min(p + cost(w) for w, p in paths(text) if w == got) == pytest.approx(best)
@@ -172,6 +172,27 @@ def test_frequent_classes_lose_nothing(spark, monkeypatch):
     assert got == brute_components(ids, texts, 3, (90, 100))
 
 
+def test_family_just_under_the_threshold(spark):
+    """Many texts, each a little too different from every other: no link, and rows in proportion to the members."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(70):
+        w = list(base)
+        for at in rng.sample(range(300), 6):
+            w[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [texts[3] + " tail", texts[3]]
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(frame(spark, texts), 3, (90, 100)).collect()}
+    assert out == brute_components(list(range(len(texts))), texts, 3, (90, 100)) and out[70][1] == out[71][1] == 3
+
+
+def test_versions_of_a_document(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    out = neardup.near_duplicates(frame(spark, [a, b, b, a, None, "c d e f g"], ids=[5, 5, 7, 9, 5, None]), 3, (90, 100)).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in out if r["n_shingles"]) == [(0, 0), (5, 5), (5, 5), (7, 5), (9, 5)]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (7, 9), (5, 5), (None, 1)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
@@ -188,7 +209,10 @@ def test_language(spark):
     got = {r["doc_id"]: r for r in langzip.classify(frame(spark, texts), dictionaries).collect()}
     assert [got[i]["lang_pred"] for i in range(6)] == ["en", "de", "und", "und", "und", "en"]
     assert all(0 <= r["score"] <= 1 for r in got.values()) and got[2]["rejected"]
-    assert langzip.fit(train.limit(0)) == {}
+    assert langzip.fit(train.limit(0)) == {} and langzip.classify(frame(spark, []), dictionaries).count() == 0
+    assert [langzip.folded(x) for x in ("²", "½ 5", "A½b", "é_1 Z")] == ["", "", "a b", "é z"]
+    long = {r["doc_id"]: r for r in langzip.classify(frame(spark, [en[0] * 300, de[1] * 300, en[0], en[0]]), dictionaries).collect()}
+    assert [long[i]["lang_pred"] for i in range(4)] == ["en", "de", "en", "en"] and not long[0]["rejected"] and long[2]["score"] == long[3]["score"]
 
 
 def test_shards(spark):
@@ -210,7 +234,7 @@ def test_pieces(spark):
     enc = pieces.Encoder(v, 4)
 
     def brute(text):
-        arcs, out = v.forward(" " + text)[0], []
+        arcs, out = v.arcs(" " + text), []
 
         def walk(at, score):
             if at == 0:
@@ -219,14 +243,19 @@ def test_pieces(spark):
             for start, s, _ in arcs[at]:
                 walk(start, score + s)
 
-        walk(len(text) + 1, 0.0)
-        return sorted(out, reverse=True)[:4]
+        walk(len(text) + 1, 0)
+        return [x / pieces.STEPS for x in sorted(out, reverse=True)[:4]]
 
     for t in ("hello", "a b", "ab\ncd", "▁x  é", "日本"):
         found = enc(t)
         assert [f[0] for f in found] == pytest.approx(brute(t))
         assert all(v.decode(enc.ids(f)) == t for f in found) and len({tuple(enc.ids(f)) for f in found}) == len(found)
-    texts = [None, "", "Hello  world\n", "word " * 5000, "\U0001f600 ok"]
+    for t in ("x" * 5000, "_" * 1500, "\U0001f600" * 300):  # ties everywhere
+        found = enc(t)
+        assert [f[0] for f in found] == sorted((f[0] for f in found), reverse=True) and v.decode(enc.ids(found[0])) == t
+    own = [[] if not x else v.cut.findall(" " + x) for x in ("a(b) c.d  e\n\nf, 'g'", "x" * 50)]
+    assert "".join(own[0]) == " a(b) c.d  e\n\nf, 'g'" and pieces.digest_documents(frame(spark, []), PIECE_MODEL).count() == 0
+    texts = [None, "", "Hello  world\n", "word " * 5000, "\U0001f600 ok", "Hello  world\n"]
     rows = pieces.decode(pieces.encode(frame(spark, texts), PIECE_MODEL, all_ids=True), PIECE_MODEL).collect()
     for r in rows:
         assert r["decoded"] == (r["text"] or "") and r["n_tokens"] == len(r["ids"]) and len(r["nbest_scores"]) == len(r["nbest_ids"])
@@ -329,6 +358,45 @@ def test_order_minhash_of_short_texts(spark):
     assert all(x is not None for r in df.select("fa").collect() for x in r[0])
 
 
+def test_order_minhash_by_brute_force(spark):
+    import struct
+
+    import xxhash
+
+    def chained(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v, seed)
+        return seed - 2**64 if seed >= 2**63 else seed
+
+    def long(x):
+        return struct.pack("<q", x)
+
+    def slots(text, k=3, take=2):
+        w = text.split()
+        hashes = [chained(*w[i : i + k]) >> 24 for i in range(len(w) - k + 1)] if len(w) >= k else [chained(" ".join(w)) >> 24] * bool(w)
+        if not hashes:
+            return [None] * 64
+        seen, numbered = {}, []
+        for pos, h in enumerate(hashes):
+            r = seen[h] = seen.get(h, -1) + 1
+            numbered.append((chained(long(h), struct.pack("<i", r)) >> 24 if r else h, pos))
+        out = []
+        for g in range(2):
+            order = sorted((chained(long(h), struct.pack("<i", g)) >> 24 if g else h, pos) for h, pos in numbered)
+            for start in range(-16, 16):
+                first = next((i for i, (h, _) in enumerate(order) if h >> 35 >= start), 0)
+                least = sorted((order[(first + d) % len(order)] for d in range(min(take, len(order)))), key=lambda x: x[1])
+                out.append(chained(*(long(((h << 24 | pos) >> 25) & 2**39 - 1) for h, pos in least)) >> 32)
+        return out
+
+    rng = random.Random(8)
+    texts = ["", "a", "a b", "a b c", "x " * 200, "a b " * 30, *(" ".join(rng.choices("abcdefgh", k=n)) for n in (5, 30, 300)), *(" ".join(f"w{rng.randrange(500)}" for _ in range(n)) for n in (20, 400))]
+    df = ordermin.with_fingerprint(frame(spark, texts), "text", "f")
+    got = {r["doc_id"]: r["f"] for r in df.select("doc_id", "f").collect()}
+    assert [got[i] for i in range(len(texts))] == [slots(t) for t in texts]
+
+
 def test_mixing(spark):
     texts = [f"w{i} " * (i % 9) for i in range(200)] + [None, ""]
     df = frame(spark, texts, sources=["a", "b", "c", None, "a"])
@@ -377,6 +445,11 @@ def test_pipeline_stages(spark, tmp_path):
     for name, stage in cp.STAGES[:4]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns, name
+    clashing = docs.withColumn("score", F.lit("own")).withColumn("predicted", F.lit(7)).withColumn("rejected", F.lit("r")).withColumn("margin", F.lit(1))
+    for stage in (cp.drop_toxic, cp.keep_languages):
+        assert {tuple(r) for r in stage(spark, clashing, str(tmp_path)).select("score", "predicted", "rejected", "margin").collect()} <= {("own", 7, "r", 1)}
+    again = docs.where("doc_id < 3").unionByName(docs.where("doc_id < 3"))
+    assert cp.drop_near_duplicates(spark, again, "").count() == len({t for t in texts[:3]})
     kept = {r["doc_id"] for r in cp.drop_near_duplicates(spark, docs, "").collect()}
     parts = brute_components(list(range(len(texts))), texts, 5, (8, 10))
     assert kept == {c for _, c in parts.values()}
