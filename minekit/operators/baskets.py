@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,12 @@ def singletons(baskets: DataFrame, support: int) -> DataFrame:
 
 def candidates(level: DataFrame, k: int) -> DataFrame:
     """(items): unions of two frequent (k-1)-sets that share their first k-2 items, in order; the others are unions of those too."""
-    a = level.select(F.col("items").alias("a"), F.slice("items", 1, k - 2).alias("p") if k > 2 else F.array().cast("array<string>").alias("p"))
+    if k == 2:  # nothing in common to meet by: blocks of one side meet all of the other
+        blocks = int(level.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        a = level.select(F.col("items").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("p"))
+        b = level.select(F.col("items").alias("b"), F.pmod(F.xxhash64("items"), F.lit(blocks)).cast("int").alias("p"))
+        return a.join(b, "p").where(F.col("a")[0] < F.col("b")[0]).select(F.concat("a", "b").alias("items"))
+    a = level.select(F.col("items").alias("a"), F.slice("items", 1, k - 2).alias("p"))
     b = a.select(F.col("a").alias("b"), "p")
     return a.join(b, "p").where(F.element_at("a", -1) < F.element_at("b", -1)).select(F.concat("a", F.slice("b", k - 1, 1)).alias("items"))
 
@@ -30,12 +37,14 @@ def counted(baskets: DataFrame, cands: DataFrame, k: int, support: int) -> DataF
     return grown.groupBy(F.col("s").alias("items")).agg(F.count("*").alias("support")).where(F.col("support") > support)
 
 
-def apriori(baskets: DataFrame, support: int, longest: int = 10) -> DataFrame:
-    """(items, k, support) of all frequent itemsets; support is strict, items are sorted. Stops where no candidates are left."""
+def apriori(baskets: DataFrame, support: int, longest: int | None = None) -> DataFrame:
+    """(items, k, support) of all frequent itemsets; support is strict, items are sorted. Goes on until no candidates are left, or to sets of longest items."""
     frequent = baskets.join(baskets.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") > support).select("item"), "item", "left_semi").persist()
     level = singletons(baskets, support)
     out = level.withColumn("k", F.lit(1).cast("long"))
-    for k in range(2, longest + 1):
+    for k in count(2):
+        if longest and k > longest:
+            break
         cands = candidates(level, k).persist()
         if not cands.limit(1).count():
             break

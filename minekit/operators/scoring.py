@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,10 +75,8 @@ def threshold_grid(df: DataFrame, grid: dict[str, list[float]] | None = None, fo
     cell = {c: sum((X.indicator(F.col(c) >= v if c in ("soil", "rain") else F.col(c) > v) for v in grid[c][1:]), X.indicator(F.col(c) >= grid[c][0] if c in ("soil", "rain") else F.col(c) > grid[c][0])) for c in grid}
     counts = df.groupBy(*[v.alias(f"{c}_cell") for c, v in cell.items()], "stage", "mulch", "y", "fold").agg(F.count("*").alias("n"))
     spark = df.sparkSession
-    combos = None
-    for c, values in grid.items():
-        own = spark.createDataFrame([(float(v), i) for i, v in enumerate(values)], f"{c}_t double, {c}_i int")
-        combos = own if combos is None else combos.crossJoin(own)
+    columns = ", ".join(f"{c}_t double, {c}_i int" for c in grid)
+    combos = spark.createDataFrame([tuple(x for i, v in combo for x in (float(v), i)) for combo in product(*(list(enumerate(values)) for values in grid.values()))], columns)
     both = counts.crossJoin(F.broadcast(combos))  # the grid's size is a parameter, not the data's
     hit = {"soil_low": F.col("soil_cell") <= F.col("soil_i"), "rain_low": F.col("rain_cell") <= F.col("rain_i"), "temp_high": F.col("temp_cell") > F.col("temp_i"), "wind_high": F.col("wind_cell") > F.col("wind_i")}
     i = indicators(dict.fromkeys(grid, 0.0)) | {k: X.indicator(v) for k, v in hit.items()}

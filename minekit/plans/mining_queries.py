@@ -19,7 +19,8 @@ SUPPORT = 300
 _ITEMS = f"""{BASKETS}, f1 AS (SELECT item, count(*) AS n FROM baskets GROUP BY item HAVING count(*) > {{s}}),
 f2 AS (SELECT a.item AS x, b.item AS y, count(*) AS n FROM baskets a JOIN baskets b ON a.basket = b.basket AND a.item < b.item GROUP BY 1, 2 HAVING count(*) > {{s}}),
 f3 AS (SELECT a.item AS x, b.item AS y, c.item AS z, count(*) AS n FROM baskets a JOIN baskets b ON a.basket = b.basket AND a.item < b.item JOIN baskets c ON a.basket = c.basket AND b.item < c.item GROUP BY 1, 2, 3 HAVING count(*) > {{s}}),
-f AS (SELECT item AS items, 1::BIGINT AS k, n AS support FROM f1 UNION ALL SELECT x || '|' || y, 2, n FROM f2 UNION ALL SELECT x || '|' || y || '|' || z, 3, n FROM f3)"""
+f4 AS (SELECT x, y, z, d.item AS u, count(*) AS n FROM f3 JOIN baskets a ON a.item = x JOIN baskets b ON b.item = y AND a.basket = b.basket JOIN baskets c ON c.item = z AND a.basket = c.basket JOIN baskets d ON d.item > z AND a.basket = d.basket GROUP BY 1, 2, 3, 4 HAVING count(*) > {{s}}),
+f AS (SELECT item AS items, 1::BIGINT AS k, n AS support FROM f1 UNION ALL SELECT x || '|' || y, 2, n FROM f2 UNION ALL SELECT x || '|' || y || '|' || z, 3, n FROM f3 UNION ALL SELECT x || '|' || y || '|' || z || '|' || u, 4, n FROM f4)"""
 
 
 def joined(c: str):
@@ -54,12 +55,12 @@ def agg_support(spark, d):
 
 @query("mb_apriori", f"WITH {_ITEMS.format(s=SUPPORT)} SELECT items, k, support FROM f")
 def mb_apriori(spark, d):
-    return A.apriori(baskets(spark, d), SUPPORT, 3).select(joined("items"), "k", "support")
+    return A.apriori(baskets(spark, d), SUPPORT).select(joined("items"), "k", "support")
 
 
 @query("agg_itemset_stats", f"WITH {_ITEMS.format(s=SUPPORT)} SELECT k, count(*) AS n, round(avg(support), 6) AS mean FROM f GROUP BY k")
 def agg_itemset_stats(spark, d):
-    return A.apriori(baskets(spark, d), SUPPORT, 3).groupBy("k").agg(F.count("*").alias("n"), X.r6(F.avg("support")).alias("mean"))
+    return A.apriori(baskets(spark, d), SUPPORT).groupBy("k").agg(F.count("*").alias("n"), X.r6(F.avg("support")).alias("mean"))
 
 
 _RULES = f"""{_ITEMS.format(s=SUPPORT)}, r AS (SELECT x AS a, y AS c, f2.n / f1.n::DOUBLE AS conf FROM f2 JOIN f1 ON item = x UNION ALL SELECT y, x, f2.n / f1.n::DOUBLE FROM f2 JOIN f1 ON item = y)"""

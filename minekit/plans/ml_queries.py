@@ -143,14 +143,6 @@ def ml_logreg(spark, d):
     return model.transform(df).select("id", F.array_join(F.transform(F.slice(order, 1, 3), lambda x: F.element_at(names, x["i"].cast("int") + 1)), " ").alias("top3"))
 
 
-@query("ml_gbdt_multi")
-def ml_gbdt_multi(spark, d):
-    df = _parts(spark, d)
-    index = _label(df)
-    model = Pipeline(stages=[*M.prepare(["p_size", "p_retailprice"], ["p_brand"], scale=False), RandomForestClassifier(numTrees=10, maxDepth=5, seed=42)]).fit(index.transform(df))
-    return model.transform(index.transform(df)).groupBy("prediction").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
-
-
 @query("agg_importance")
 def agg_importance(spark, d):
     df = learning_set(spark, d)

@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return put
 
 
-from . import evaluation_queries, feature_queries, mining_queries, ml_queries, relational_queries, source_queries  # noqa: E402, F401
+from . import evaluation_queries, feature_queries, mining_queries, ml_queries, model_queries, relational_queries, source_queries  # noqa: E402, F401

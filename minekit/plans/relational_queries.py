@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import product
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -97,7 +97,7 @@ def jn_cross_expand(spark, d):
 
 @query("jn_cross_grid", "SELECT * FROM " + ", ".join(f"(SELECT unnest([{', '.join(f'{v}::DOUBLE' for v in vs)}]) AS {c}_t) {c}s" for c, vs in SMALL_GRID.items()))
 def jn_cross_grid(spark, d):
-    return reduce(lambda a, b: a.crossJoin(b), [spark.createDataFrame([(v,) for v in vs], f"{c}_t double") for c, vs in SMALL_GRID.items()])
+    return spark.createDataFrame(list(product(*SMALL_GRID.values())), ", ".join(f"{c}_t double" for c in SMALL_GRID))
 
 
 @query("jn_cross_groups", "SELECT n_name, c_mktsegment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, c_mktsegment")

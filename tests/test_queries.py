@@ -74,6 +74,18 @@ def test_swaps_keep_sizes_and_cut_edges(spark):
         G.swap_partition(edges, restart=0)
 
 
+def test_models(spark, sf):
+    got = {name: [r.asDict() for r in registry.QUERIES[name](spark, sf).collect()] for name in ("ml_gbdt_residual", "ml_ranker", "ml_mlp", "ml_shap", "ml_automl_cls", "ml_automl_reg", "ml_gbdt_multi", "snk_model", "src_model", "txt_sweep", "fn_random")}
+    assert got["ml_gbdt_residual"][0]["loss_after"] <= got["ml_gbdt_residual"][0]["loss_before"]
+    assert 0 < got["ml_ranker"][0]["map3"] <= 1 and 0.4 < got["ml_mlp"][0]["auc"] <= 1
+    assert max(r["gap"] for r in got["ml_shap"]) < 1e-6 and len(got["ml_shap"]) == 6
+    scores = [r["score"] for r in got["ml_automl_cls"]]
+    assert scores == sorted(scores, reverse=True) and len(got["ml_automl_reg"]) == 4 and [r["place"] for r in got["ml_automl_reg"]] == [1, 2, 3, 4]
+    assert all(0 <= r["accuracy"] <= 1 for r in got["ml_gbdt_multi"])
+    assert all(r["before"] == r["after"] for r in got["snk_model"]) and len(got["src_model"]) == len(got["snk_model"])
+    assert all(r["found"] <= r["candidates"] for r in got["txt_sweep"]) and all(0 <= r["u"] < 1 for r in got["fn_random"])
+
+
 def test_learners(spark, sf):
     for name in ("cv_oof", "ml_gbdt_bin", "ml_logreg", "sp_cluster", "jb_run", "fe_power", "ml_automl_ts"):
         assert registry.QUERIES[name](spark, sf).count() > 0, name
