@@ -39,16 +39,22 @@ def counted(baskets: DataFrame, cands: DataFrame, k: int, support: int) -> DataF
 
 def apriori(baskets: DataFrame, support: int, longest: int | None = None) -> DataFrame:
     """(items, k, support) of all frequent itemsets; support is strict, items are sorted. Goes on until no candidates are left, or to sets of longest items."""
+    baskets = baskets.persist()
     frequent = baskets.join(baskets.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") > support).select("item"), "item", "left_semi").persist()
-    level = singletons(baskets, support)
+    level = singletons(baskets, support).persist()
     out = level.withColumn("k", F.lit(1).cast("long"))
     for k in count(2):
         if longest and k > longest:
             break
-        cands = candidates(level, k).persist()
-        if not cands.limit(1).count():
-            break
-        level = counted(frequent, cands, k, support).persist()
+        if k == 2:  # every pair of frequent items is a candidate: those of a basket are counted where it is
+            a, b = frequent.alias("a"), frequent.alias("b")
+            both = a.join(b, F.expr("a.basket = b.basket AND a.item < b.item")).select(F.array("a.item", "b.item").alias("items"))
+            level = both.groupBy("items").agg(F.count("*").alias("support")).where(F.col("support") > support).persist()
+        else:
+            cands = candidates(level, k).persist()
+            if not cands.limit(1).count():
+                break
+            level = counted(frequent, cands, k, support).persist()
         if not level.limit(1).count():
             break
         out = out.unionByName(level.withColumn("k", F.lit(k).cast("long")))

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.text import settled
 from .evaluation import auc
 
 
@@ -42,9 +43,11 @@ def rank_blend(df: DataFrame, anchor: str, support: str, weight: int, of: int =
 
     The weight is the fraction weight / of, so that blended ranks are whole numbers and ties are exact.
     """
-    df = stable_rank(stable_rank(df, anchor, "_ra", id_col), support, "_rs", id_col)
+    # each ranking reads its rows twice: they are written, not computed again
+    df = settled(stable_rank(settled(df, "scores"), anchor, "_ra", id_col), "ranked")
+    df = settled(stable_rank(df, support, "_rs", id_col), "ranked")
     df = df.withColumn("_m", (of - weight) * F.col("_ra") + weight * F.col("_rs"))
-    df = stable_rank(df, "_m", "_k", id_col)
+    df = settled(stable_rank(df, "_m", "_k", id_col), "ranked")
     values = df.select(F.col("_ra").alias("_k"), F.col(anchor).alias("blended"))
     return df.join(values, "_k").drop("_k", "_ra", "_rs", "_m")
 

@@ -1,7 +1,8 @@
 """Exact metrics, drift and error analysis as DataFrame operations.
 
-Ranks are taken over distinct scores: scores are counted first, and only the table of distinct
-scores is cumulated, so one task never sorts all rows.
+Ranks are taken over distinct scores: scores are counted first, and the counts are cumulated
+inside narrow ranges of the score, whose own sums are cumulated apart. So no task sorts all
+rows or all scores.
 """
 
 from __future__ import annotations
@@ -10,17 +11,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cumulated(counts: DataFrame, by: list[str], score: str) -> tuple[DataFrame, Window]:
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    return counts, w
+#: Ranges of a score per unit.
+RANGES = 4096
+
+
+def below(counts: DataFrame, by: list[str], score: str, sums: dict[str, str]) -> DataFrame:
+    """counts with, for each column of sums, its total over the rows of the group with a lower score, under the name given."""
+    ranged = counts.withColumn("_range", F.floor(F.col(score) * RANGES))
+    per_range = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t{c}") for c in sums])
+    lower = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_k{i}" for i in range(len(by))]
+    offsets = per_range.select(*[F.col(c).alias(k) for c, k in zip(by, names, strict=True)], F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_t{c}").over(lower), F.lit(0)).alias(f"_o{c}") for c in sums])
+    on = F.col("_range") == F.col("_r")
+    for c, k in zip(by, names, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(k))
+    inside = Window.partitionBy(*by, "_range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(offsets, on)
+    return joined.select(*counts.columns, *[(F.col(f"_o{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n) for c, n in sums.items()])
 
 
 def auc(df: DataFrame, score: str = "p", target: str = "y", by: list[str] | None = None) -> DataFrame:
     """(by..., n, auc): rank-sum with average ranks; null where a group has one class only. Null scores and targets are left out."""
     by = by or []
     counts = df.where(F.col(score).isNotNull() & F.col(target).isNotNull()).groupBy(*by, score).agg(F.sum(target).alias("_p"), F.count("*").alias("_n"))
-    counts, w = _cumulated(counts, by, score)
-    ranked = counts.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    ranked = below(counts, by, score, {"_n": "_below"})
     # average rank of a tie of _n scores behind _below others
     sums = ranked.groupBy(*by).agg(F.sum(F.col("_p") * (F.col("_below") + (F.col("_n") + 1) / F.lit(2.0))).alias("_r"), F.sum("_p").alias("_p"), F.sum("_n").alias("n"))
     other = F.col("n") - F.col("_p")
@@ -31,10 +45,10 @@ def auc(df: DataFrame, score: str = "p", target: str = "y", by: list[str] | None
 def ks_two_sample(df: DataFrame, value: str, sample: str) -> DataFrame:
     """(statistic): the greatest distance between the distribution functions of the rows with sample 0 and 1."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(F.when(F.col(sample) == 0, 1).otherwise(0)).alias("_a"), F.sum(F.when(F.col(sample) == 1, 1).otherwise(0)).alias("_b"))
-    upto = Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy(F.lit(0))
-    gap = F.abs(F.sum("_a").over(upto) / F.sum("_a").over(everything) - F.sum("_b").over(upto) / F.sum("_b").over(everything))
-    return counts.select(gap.alias("_g")).agg(F.max("_g").alias("statistic"))
+    whole = counts.agg(F.sum("_a").alias("_wa"), F.sum("_b").alias("_wb"))
+    upto = below(counts, [], value, {"_a": "_la", "_b": "_lb"}).crossJoin(F.broadcast(whole))
+    gap = F.abs((F.col("_la") + F.col("_a")) / F.col("_wa") - (F.col("_lb") + F.col("_b")) / F.col("_wb"))
+    return upto.agg(F.max(gap).alias("statistic"))
 
 
 def calibration(df: DataFrame, score: str = "p", target: str = "y", bins: int = 10) -> DataFrame:

@@ -31,6 +31,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: its lineage ends there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
