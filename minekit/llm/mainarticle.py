@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches
+from .common import bounded_batches, by_slices
 
 #: Lines a window holds, and the window sums that open and close a main stretch.
 WINDOW, SURGE, DIVE = 3, 86, 10
@@ -35,7 +35,7 @@ _NAMES = re.compile(
 )
 _ARTICLE = re.compile(r"(?:article|post|entry|story|content|main)(?:[_-]?(?:body|text|content))?", re.I)
 _NEGATED = re.compile(r"(?:^|(?<=\s))(?:no|non|not|without|with|has|hide)[_-]\S+", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|$)", re.S)  # a quote opens a value only behind an equals sign
 _ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _SPACE = re.compile(r"\s+")
 
@@ -164,16 +164,19 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
     """pages without html, with the main text and its code points n_chars.
 
     Null and empty pages give empty texts; columns of the same names as the two new ones are
-    replaced. Rows are independent of each other; nothing is shuffled.
+    replaced. A very long page is a slice of its own; repeated rows get equal texts. Rows are
+    independent of each other; nothing is shuffled.
     """
     keep = [c for c in pages.columns if c not in (html_col, out_col, "n_chars")]
     slim = bounded_batches(pages).select(*keep, html_col)
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != html_col), f"`{out_col}` string", "n_chars bigint"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def ready() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [main_text(x) for x in batch.column(html_col).to_pylist()]
             columns = [batch.column(c) for c in keep] + [pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, out_col, "n_chars"])
+            return pa.RecordBatch.from_arrays(columns, names=[*keep, out_col, "n_chars"])
 
-    return slim.mapInArrow(run, fields)
+        return run
+
+    return slim.mapInArrow(by_slices(html_col, ready), fields)

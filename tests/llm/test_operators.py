@@ -424,6 +424,16 @@ def test_pages(spark):
     assert got[3]["text"] == got[4]["text"] == "" and got[5]["text"] == "short" and got[1]["n_chars"] == len(got[1]["text"])
 
 
+def test_quotes_in_markup():
+    assert mainarticle.main_text("<article><p title=don't>First long text it's here and more</p><p class='a>b'>Second</p><p data-x=\"a>b\">Third</p></article>") == "First long text it's here and more\nSecond\nThird"
+
+
+def test_empty_and_long_pages(spark):
+    pages = spark.createDataFrame([(1, "", "<main><p>" + "long text " * 200_000 + "</p></main>"), (2, None, "x"), (2, None, "x")], "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["n_chars"]) for r in mainarticle.extract(pages).collect())
+    assert got == [(1, 1_999_999), (2, 1), (2, 1)] and mainarticle.extract(pages.limit(0)).count() == 0
+
+
 def test_curve_decides_beside_articles():
     """Main text in blocks beside articles stays, comments that are articles go, and neither negated names nor containers lose it."""
     para = "A sentence of the main text that is long enough to be a paragraph of its own, with words. " * 2
