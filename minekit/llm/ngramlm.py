@@ -25,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, give_back, mix, new_path, shuffle_parts, slices, tokens, word_hashes
+from .common import bounded_batches, give_back, mix, new_path, release, shuffle_parts, slices, tokens, word_hashes
 from .eliasfano import EliasFano, load, named, part, save
 
 #: Absolute discount; steps of a quantised log10 per unit.
@@ -205,6 +206,18 @@ def _joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()] or [np.zeros(0, kind)])
 
 
+def _squeezed(values: np.ndarray, kind: str, rising: bool = False) -> bytes:
+    """Whole numbers (rising: their differences) byte by byte, compressed."""
+    data = np.ascontiguousarray(np.diff(values, prepend=0) if rising else values).astype(kind)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(data.view(np.uint8).reshape(len(data), -1).T).tobytes())
+
+
+def _opened(data: bytes, kind: str, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    values = np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
+    return np.cumsum(values) if rising else values
+
+
 def fit(train: DataFrame, text_col: str = "text", order: int = 2, shards: int | None = None) -> Meta:
     """Counts every text of train (null: empty) and builds the trie in the shared folder."""
     spark: SparkSession = train.sparkSession
@@ -255,6 +268,7 @@ def fit(train: DataFrame, text_col: str = "text", order: int = 2, shards: int |
     if documents > total / (4 * parts):
         hot[at] = documents
     meta = Meta(path, 1, shards, parts, starts, at, total, documents, hot, {}, {})
+    release(spark)
     if order > 1 and total:
         _build_levels(docs, meta, order)
     return meta
@@ -326,7 +340,7 @@ def _build_levels(docs: DataFrame, meta: Meta, order: int) -> None:
                 own = rows[lo:hi]
                 count = g.count[own]
                 few = np.minimum(count, 255).astype(np.uint8).tobytes() + count[count >= 255].astype("<i8").tobytes()  # in one byte; large ones follow in 8
-                own_of[at] += [parent[own].astype("<u4" if i else wide).tobytes(), g.word[own].astype(wide).tobytes(), few]
+                own_of[at] += [_squeezed(parent[own], "<u4" if i else wide, True), _squeezed(g.word[own], wide), zstandard.ZstdCompressor(level=1).compress(few)]
             inner = np.empty(len(rows), np.int64)
             inner[rows] = np.arange(len(rows)) - np.repeat(edge[:-1], np.diff(edge))
         arrays = [pa.array(list(made), pa.int32())] + [pa.array([own[i] for own in made.values()], pa.binary()) for i in range(len(names))]
@@ -352,11 +366,11 @@ def _build_levels(docs: DataFrame, meta: Meta, order: int) -> None:
         for row in range(table.num_rows):
             own = []
             for i in levels:
-                word = np.frombuffer(table.column(f"word{i}")[row].as_py(), wide).astype(np.int64)
-                few = table.column(f"few{i}")[row].as_py()
+                word = _opened(table.column(f"word{i}")[row].as_py(), wide)
+                few = zstandard.ZstdDecompressor().decompress(table.column(f"few{i}")[row].as_py())
                 count = np.frombuffer(few[: len(word)], np.uint8).astype(np.int64)
                 count[count == 255] = np.frombuffer(few[len(word) :], "<i8")
-                own.append(Grams(np.frombuffer(table.column(f"parent{i}")[row].as_py(), "<u4" if i else wide).astype(np.int64), word, count))
+                own.append(Grams(_opened(table.column(f"parent{i}")[row].as_py(), "<u4" if i else wide, True), word, count))
             held.append(own)
         grams = _merged(held, words)
         found: dict = {"place": pa.array([part_no], pa.int32())}
@@ -395,6 +409,7 @@ def _build_levels(docs: DataFrame, meta: Meta, order: int) -> None:
         for h, n in zip(r["hot"], r["parts"], strict=True):
             meta.spread[h] = meta.spread.get(h, 0) + n
     meta.order = order
+    release(docs.sparkSession)
 
 
 _MODELS: dict[str, Model] = {}
