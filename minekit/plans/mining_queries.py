@@ -63,22 +63,25 @@ def agg_itemset_stats(spark, d):
     return A.apriori(baskets(spark, d), SUPPORT).groupBy("k").agg(F.count("*").alias("n"), X.r6(F.avg("support")).alias("mean"))
 
 
-_RULES = f"""{_ITEMS.format(s=SUPPORT)}, r AS (SELECT x AS a, y AS c, f2.n / f1.n::DOUBLE AS conf FROM f2 JOIN f1 ON item = x UNION ALL SELECT y, x, f2.n / f1.n::DOUBLE FROM f2 JOIN f1 ON item = y)"""
+_RULES = f"""{_ITEMS.format(s=SUPPORT)}, w AS (SELECT string_split(items, '|') AS l, k, support FROM f WHERE k > 1), e AS (SELECT l, support, unnest(range(1, CAST(pow(2, k) AS BIGINT) - 1)) AS mask FROM w),
+s AS (SELECT support, array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i : (mask >> (i - 1)) & 1 = 1), lambda i : l[i]), '|') AS a, array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i : (mask >> (i - 1)) & 1 = 0), lambda i : l[i]), '|') AS c FROM e),
+r AS (SELECT a, c, s.support / f.support::DOUBLE AS conf FROM s JOIN f ON f.items = s.a)"""
 
 
 @query("mb_rules", f"WITH {_RULES} SELECT a AS antecedent, c AS consequent, round(conf, 6) AS confidence FROM r WHERE conf >= 0.18")
 def mb_rules(spark, d):
-    return A.rules(A.apriori(baskets(spark, d), SUPPORT, 2), 0.18).select(joined("antecedent"), joined("consequent"), X.r6(F.col("confidence")).alias("confidence"))
+    return A.rules(A.apriori(baskets(spark, d), SUPPORT), 0.18).select(joined("antecedent"), joined("consequent"), X.r6(F.col("confidence")).alias("confidence"))
 
 
 @query("set_rule_diff", f"WITH {_RULES} SELECT c AS consequent, count(*) AS n FROM r WHERE conf >= 0.1 GROUP BY c")
 def set_rule_diff(spark, d):
-    return A.rules(A.apriori(baskets(spark, d), SUPPORT, 2), 0.1).groupBy(F.array_join("consequent", "|").alias("consequent")).agg(F.count("*").alias("n"))
+    return A.rules(A.apriori(baskets(spark, d), SUPPORT), 0.1).groupBy(F.array_join("consequent", "|").alias("consequent")).agg(F.count("*").alias("n"))
 
 
 # Similar texts
 
 N, BANDS, T_LSH = 20, 5, 0.8
+ROWS = N // BANDS
 _SHINGLES = "t AS (SELECT doc_id AS id, list_distinct(list_transform(range(1, length(text) - 4), lambda i : substr(text, i, 5))) AS s FROM documents WHERE length(text) > 5)"
 _CODES = _SHINGLES + ", c AS (SELECT id, list_distinct(list_transform(s, lambda x : ('0x' || substr(md5(x), 1, 8))::BIGINT % 2147483647)) AS items FROM t)"
 _SIG = _CODES + ", u AS (SELECT id, unnest(items) AS x FROM c), g AS (SELECT id, [" + ", ".join(f"min(((x * ({a}) + ({b})) % 2147483647 + 2147483647) % 2147483647)" for a, b in S.hash_params(N)) + "] AS sig FROM u GROUP BY id)"
@@ -103,16 +106,16 @@ def agg_setmin(spark, d):
     return S.signatures(S.shingled(table(spark, d, "documents")), N).select("id", F.col("sig")[0].alias("first"))
 
 
-_BANDS = _SIG + f", b AS (SELECT id, sig, unnest([{', '.join(str(i) for i in range(BANDS))}]) AS band, unnest([{', '.join('+'.join(f'sig[{i * 4 + j + 1}]' for j in range(4)) for i in range(BANDS))}]) AS key FROM g)"
+_BANDS = _SIG + f", b AS (SELECT id, sig, unnest([{', '.join(str(i) for i in range(BANDS))}]) AS band, unnest([{', '.join('+'.join(f'sig[{i * ROWS + j + 1}]' for j in range(ROWS)) for i in range(BANDS))}]) AS key FROM g)"
 
 
 @query("agg_bandsum", f"WITH {_BANDS} SELECT id, CAST(band AS INTEGER) AS band, CAST(key AS BIGINT) AS key FROM b")
 def agg_bandsum(spark, d):
-    return _sigs(spark, d).select("id", F.posexplode(X.band_sums(F.col("sig"), N, 4)).alias("band", "key"))
+    return _sigs(spark, d).select("id", F.posexplode(X.band_sums(F.col("sig"), N, ROWS)).alias("band", "key"))
 
 
-_LSH = _BANDS + """, p AS (SELECT DISTINCT l.id AS a, r.id AS b, l.sig AS x, r.sig AS y FROM b l JOIN b r ON l.band = r.band AND l.key = r.key AND l.id < r.id),
- q AS (SELECT a, b, list_sum(list_transform(range(1, 21), lambda i : CAST(x[i] = y[i] AS INTEGER))) / 20.0::DOUBLE AS similarity FROM p)"""
+_LSH = _BANDS + f""", p AS (SELECT DISTINCT l.id AS a, r.id AS b, l.sig AS x, r.sig AS y FROM b l JOIN b r ON l.band = r.band AND l.key = r.key AND l.id < r.id),
+ q AS (SELECT a, b, list_sum(list_transform(range(1, {N + 1}), lambda i : CAST(x[i] = y[i] AS INTEGER))) / {N}.0::DOUBLE AS similarity FROM p)"""
 
 
 @query("txt_lsh", f"WITH {_LSH} SELECT a, b, round(similarity, 6) AS similarity FROM q WHERE similarity >= {T_LSH}::DOUBLE")
