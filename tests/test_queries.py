@@ -41,6 +41,15 @@ def test_shingles_drop_the_last(spark):
     assert [r["s"] for r in df.collect()] == [["abcde"], [], []]
 
 
+def test_logit_outside_zero_and_one_equals_sql(spark, tmp_path):
+    values = [0.0, 1e-6, 250.0, 499.99999, 500.0, 560.21, -1.0, None]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = c.sql(registry.ORACLE["fn_logit"]).fetchall()
+    assert repr(sorted(map(tuple, registry.QUERIES["fn_logit"](spark, str(tmp_path)).collect()))) == repr(sorted(want))
+
+
 def test_exact_pairs_equal_brute_force(spark, sf):
     sets = S.shingled(spark.read.parquet(f"{sf}/documents.parquet"))
     got = {(r["a"], r["b"]) for r in S.exact_pairs(sets, 0.8).collect()}
