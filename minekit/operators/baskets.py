@@ -7,6 +7,8 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.text import settled
+
 
 def singletons(baskets: DataFrame, support: int) -> DataFrame:
     """(items, support) of single items in more than `support` baskets. baskets: distinct (basket, item)."""
@@ -38,26 +40,28 @@ def counted(baskets: DataFrame, cands: DataFrame, k: int, support: int) -> DataF
 
 
 def apriori(baskets: DataFrame, support: int, longest: int | None = None) -> DataFrame:
-    """(items, k, support) of all frequent itemsets; support is strict, items are sorted. Goes on until no candidates are left, or to sets of longest items."""
-    baskets = baskets.persist()
-    frequent = baskets.join(baskets.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") > support).select("item"), "item", "left_semi").persist()
-    level = singletons(baskets, support).persist()
+    """(items, k, support) of all frequent itemsets; support is strict, items are sorted. Goes on until no candidates are left, or to sets of longest items.
+
+    Baskets alike are one row with a number. A level's rows hold a frequent set s and the basket's later items that
+    may follow it: those y with s[:-1] + y frequent, so that what is counted are the candidates. Each level is written, and the plan does not grow with them.
+    """
+    level = settled(singletons(baskets, support), "itemsets")
     out = level.withColumn("k", F.lit(1).cast("long"))
+    own = baskets.join(level.select(F.col("items")[0].alias("item")), "item", "left_semi").groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("rest"))
+    state = own.groupBy("rest").agg(F.count("*").alias("n")).select(F.slice("rest", 1, 0).alias("s"), "rest", "n")
     for k in count(2):
         if longest and k > longest:
             break
-        if k == 2:  # every pair of frequent items is a candidate: those of a basket are counted where it is
-            a, b = frequent.alias("a"), frequent.alias("b")
-            both = a.join(b, F.expr("a.basket = b.basket AND a.item < b.item")).select(F.array("a.item", "b.item").alias("items"))
-            level = both.groupBy("items").agg(F.count("*").alias("support")).where(F.col("support") > support).persist()
-        else:
-            cands = candidates(level, k).persist()
-            if not cands.limit(1).count():
-                break
-            level = counted(frequent, cands, k, support).persist()
-        if not level.limit(1).count():
+        steps = state.where(F.size("rest") > 1).select("s", "rest", "n", F.explode(F.sequence(F.lit(1), F.size("rest") - 1)).alias("i"))
+        grown = steps.select(F.concat("s", F.slice("rest", F.col("i"), 1)).alias("s"), F.slice("rest", F.col("i") + 1, F.size("rest")).alias("rest"), "n")
+        state = settled(grown.groupBy("s", "rest").agg(F.sum("n").alias("n")), "grown")
+        sets = state.select("s", F.explode("rest").alias("x"), "n").groupBy("s", "x").agg(F.sum("n").alias("support")).where(F.col("support") > support)
+        level = settled(sets.select(F.concat("s", F.array("x")).alias("items"), "support"), "itemsets")
+        if level.isEmpty():
             break
         out = out.unionByName(level.withColumn("k", F.lit(k).cast("long")))
+        after = level.groupBy(F.slice("items", 1, k - 1).alias("s")).agg(F.collect_list(F.element_at("items", -1)).alias("after"))
+        state = state.join(after, "s").select("s", F.array_intersect("rest", "after").alias("rest"), "n")
     return out
 
 

@@ -66,6 +66,23 @@ def test_rules_of_any_consequent(spark):
     assert A.apriori(baskets, 10).count() == 0  # support is strict
 
 
+def test_itemsets_of_every_level_in_a_small_plan(spark):
+    import random
+    from itertools import combinations
+
+    rng = random.Random(3)
+    own = [sorted(rng.sample("abcdefgh", rng.randint(1, 8))) for _ in range(60)]
+    sets = A.apriori(spark.createDataFrame([(b, i) for b, items in enumerate(own) for i in items], "basket long, item string"), 8)
+    want = {}
+    for items in own:
+        for k in range(1, 9):
+            for c in combinations(items, k):
+                want[c] = want.get(c, 0) + 1
+    assert {tuple(r["items"]): (r["k"], r["support"]) for r in sets.collect()} == {c: (len(c), n) for c, n in want.items() if n > 8}
+    assert max(r["k"] for r in sets.collect()) > 4
+    assert len(A.rules(sets, 0.1)._jdf.queryExecution().toString()) < 200_000
+
+
 def test_reservoir_large_enough_is_exact(spark):
     edges = spark.createDataFrame([(i, j) for i in range(12) for j in range(i + 1, 12) if (i * j) % 3], "u long, v long")
     exact = G.triangles(edges).count()
