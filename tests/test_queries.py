@@ -83,6 +83,25 @@ def test_itemsets_of_every_level_in_a_small_plan(spark):
     assert len(A.rules(sets, 0.1)._jdf.queryExecution().toString()) < 200_000
 
 
+def test_common_neighbors_over_ranges_equal_sets(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    near, edges = {}, {tuple(sorted(rng.sample(range(-40, 40), 2))) for _ in range(600)} | {(-7, 10**12 + i) for i in range(50)} | {(10**12, 10**12 + 9)}
+    for u, v in edges:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    want = {(u, v): len(near[u] & near[v]) for u, v in edges if near[u] & near[v]}
+    df = spark.createDataFrame(sorted(edges), "u long, v long")
+    for size in (G.RANGE, 400):
+        monkeypatch.setattr(G, "RANGE", size)
+        assert {(r["u"], r["v"]): r["common"] for r in G.common_neighbors(df).collect()} == want
+    assert G.count_triangles(df).first()["triangles"] == G.triangles(df).count() == sum(want.values()) // 3
+    local = {r["vertex"]: r["triangles"] for r in G.local_triangles(df).collect()}
+    assert local == {x: n for x in near if (n := sum(c for e, c in want.items() if x in e) // 2)}
+    assert G.count_triangles(df.limit(0)).first()["triangles"] == 0
+
+
 def test_reservoir_large_enough_is_exact(spark):
     edges = spark.createDataFrame([(i, j) for i in range(12) for j in range(i + 1, 12) if (i * j) % 3], "u long, v long")
     exact = G.triangles(edges).count()
