@@ -111,6 +111,23 @@ def test_reservoir_large_enough_is_exact(spark):
         Triest(2)
 
 
+def test_streams_are_read_in_batches(spark, monkeypatch):
+    """A task never gets its stream as one frame, and counts without a step for every triangle."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", None)
+    edges = spark.createDataFrame([(i, j) for i in range(40) for j in range(i + 1, 40)], "u long, v long")
+    whole = Triest(100, True, 1)
+    for u, v in sorted(map(tuple, edges.collect())):
+        whole.add(u, v)
+    got = estimate(edges, 100, True, 1).first()
+    assert got["edges"] == 780 and abs(got["estimate"] - whole.estimate) < 1e-6 * whole.estimate
+    assert abs(sum(whole.local.values()) / 3 - whole.tau) < 1e-6 * whole.tau
+    assert Triest(100, local=False).local is None
+    four = estimate(edges, 1000, streams=4).collect()
+    assert len(four) == 4 and sum(r["edges"] for r in four) == 780
+
+
 def test_swaps_keep_sizes_and_cut_edges(spark):
     edges = spark.createDataFrame([(i, j) for c in range(4) for i in range(c * 8, c * 8 + 8) for j in range(i + 1, c * 8 + 8)], "u long, v long")
     log = G.swap_partition(edges, rounds=20).toPandas()
