@@ -136,6 +136,47 @@ def test_swaps_keep_sizes_and_cut_edges(spark):
         G.swap_partition(edges, restart=0)
 
 
+def test_swaps_hold_no_frame_of_edges_and_count_the_cut(spark, monkeypatch):
+    """Cut and numbers of swaps of a plain run over lists in order; the edges are never one frame in a task."""
+    import random
+    from collections import defaultdict
+
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", None)
+    rng = random.Random(4)
+    edges = sorted({tuple(sorted(rng.sample(range(10, 70), 2))) for _ in range(300)})
+    got = [tuple(r) for r in G.swap_partition(spark.createDataFrame(edges, "u long, v long"), k=3, rounds=4, seed=9).collect()]
+    near = defaultdict(list)
+    for u, v in edges:
+        near[u].append(v)
+        near[v].append(u)
+    near, rng, a, swaps, want = {x: sorted(y) for x, y in near.items()}, random.Random(9), G.Annealer("LINEAR", 2.0, 0.003), 0, []
+    ids = sorted(near)
+    color = {x: x % 3 for x in ids}
+    first, degree = dict(color), lambda x, c: sum(color[y] == c for y in near[x])
+
+    def partner(p, nodes):
+        best, top = None, -1.0
+        for q in nodes:
+            new = degree(p, color[q]) ** 2.0 + degree(q, color[p]) ** 2.0
+            if a.accepts(degree(p, color[p]) ** 2.0 + degree(q, color[q]) ** 2.0, new, rng.random()) and new > top:
+                best, top = q, new
+        return best
+
+    for r in range(4):
+        for p in ids:
+            q = partner(p, rng.sample(near[p], min(3, len(near[p]))))
+            if q is None:
+                q = partner(p, [x for x in rng.sample(ids, 7) if x != p][:6])
+            if q is not None:
+                color[p], color[q] = color[q], color[p]
+                swaps += 1
+        a.cool()
+        want.append((r, sum(color[u] != color[v] for u, v in edges), swaps, sum(color[x] != first[x] for x in ids)))
+    assert got == want
+
+
 def test_models(spark, sf):
     got = {name: [r.asDict() for r in registry.QUERIES[name](spark, sf).collect()] for name in ("ml_gbdt_residual", "ml_ranker", "ml_mlp", "ml_shap", "ml_automl_cls", "ml_automl_reg", "ml_gbdt_multi", "snk_model", "src_model", "txt_sweep", "fn_random")}
     assert got["ml_gbdt_residual"][0]["loss_after"] <= got["ml_gbdt_residual"][0]["loss_before"]
