@@ -177,6 +177,28 @@ def test_swaps_hold_no_frame_of_edges_and_count_the_cut(spark, monkeypatch):
     assert got == want
 
 
+def test_spectrum_of_several_components(spark, sf):
+    """More vertices than one eigensolve takes: components apart, with the eigenvalues of the whole."""
+    import numpy as np
+
+    groups = [(0, 9), (100, 7), (200, 8)]
+    edges = [(a + i, a + j) for a, n in groups for i in range(n) for j in range(i + 1, n) if (i + j) % 5]
+    df = spark.createDataFrame(edges, "u long, v long")
+    assert G.eigengap(df, most=9).collect()[0][0] == 3
+    got = G.spectrum(df, most=9).toPandas().sort_values("vertex")
+    assert set(got.eigengap_k) == {3} and len(got) == 24
+    assert got.groupby(got.vertex // 100).cluster.nunique().tolist() == [1, 1, 1]
+    at = {x: i for i, x in enumerate(got.vertex)}
+    lap = np.zeros((24, 24))
+    for u, v in edges:
+        lap[at[u], at[v]] = lap[at[v], at[u]] = -1
+    lap -= np.diag(lap.sum(1))
+    f = got.fiedler.to_numpy()
+    assert abs(lap @ f).max() < 1e-12 and abs(f.sum()) < 1e-12 and abs(f @ f - 1) < 1e-12
+    with pytest.raises(ValueError):
+        G.spectrum(df, most=8)
+
+
 def test_models(spark, sf):
     got = {name: [r.asDict() for r in registry.QUERIES[name](spark, sf).collect()] for name in ("ml_gbdt_residual", "ml_ranker", "ml_mlp", "ml_shap", "ml_automl_cls", "ml_automl_reg", "ml_gbdt_multi", "snk_model", "src_model", "txt_sweep", "fn_random")}
     assert got["ml_gbdt_residual"][0]["loss_after"] <= got["ml_gbdt_residual"][0]["loss_before"]
