@@ -58,6 +58,28 @@ def test_exact_pairs_equal_brute_force(spark, sf):
     assert got == {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if len(own[a] & own[b]) > 0.8 * len(own[a] | own[b])}
 
 
+def test_copies_are_counted_and_pairs_found_over_all_sizes(spark):
+    """Near sets of very different sizes, across ranges, and a group of copies that makes no row a pair."""
+    import random
+
+    rng, own, at = random.Random(5), {}, 0
+    for n in [1, 2, 3, 5, 6, 9, 10, 40, 60, 64, 65, 120, 129, 700, 1000, 3000] * 3:
+        base = rng.sample(range(2**31 - 1), n)
+        for miss in (0, 1, 2, n // 10, n // 9, n // 8, n // 5):
+            own[at] = set(base[: n - miss]) or set(base)
+            at += 1
+    copies = {at + i: set(range(50)) for i in range(400)}
+    own |= copies
+    ids = sorted(own)
+    sets = spark.createDataFrame([(i, sorted(x)) for i, x in own.items()], "id long, items array<long>")
+    want = {(a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(own[a] & own[b]) > 0.8 * len(own[a] | own[b])}
+    want = {p: j for p, j in want.items() if j > 0.8}
+    assert {(r["a"], r["b"]): r["jaccard"] for r in S.exact_pairs(sets, 0.8).collect()} == want
+    assert sum(r["n"] for r in S.pair_counts(sets, 0.8).collect()) == len(want)
+    got = {(r["a"], r["b"]): r["jaccard"] for r in S.representative_pairs(sets, 0.8).collect()}
+    assert all(want[p] == j for p, j in got.items()) and sum(a in copies for a, _ in got) == len(copies) - 1
+
+
 def test_rules_of_any_consequent(spark):
     baskets = spark.createDataFrame([(b, i) for b in range(10) for i in "xyz"], "basket long, item string")
     sets = A.apriori(baskets, 5)
