@@ -208,7 +208,7 @@ def txt_sweep(spark, d):
     """Candidate pairs and pairs found by banded signatures for several numbers of bands, beside the exact number of pairs over 0.8."""
     docs = table(spark, d, "documents")
     sets = T.shingled(docs).persist()
-    exact = T.pair_counts(sets, 0.8).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    exact = T.pair_counts(docs.select(F.col("doc_id").alias("id"), "text"), 0.8).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     sigs, out = T.signatures(sets, 20).persist(), []
     for bands in (4, 5, 10):
         pairs = T.lsh(sigs, 20, 0.0, bands)

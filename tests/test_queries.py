@@ -80,6 +80,14 @@ def test_copies_are_counted_and_pairs_found_over_all_sizes(spark):
     assert all(want[p] == j for p, j in got.items()) and sum(a in copies for a, _ in got) == len(copies) - 1
 
 
+def test_pairs_of_texts_equal_pairs_of_shingles(spark):
+    base = "naïve words of a text, lines\nand more; " * 3
+    texts = [base + str(i) * (i % 4) for i in range(12)] + [base, "", "abcde", "abcdef", "abcdef", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, S.representative_pairs(S.shingled(docs), 0.8).collect()))
+    assert want == sorted(map(tuple, S.representative_pairs(docs.withColumnRenamed("doc_id", "id"), 0.8).collect())) and (14 + 1, 16, 1.0) in want
+
+
 def test_rules_of_any_consequent(spark):
     baskets = spark.createDataFrame([(b, i) for b in range(10) for i in "xyz"], "basket long, item string")
     sets = A.apriori(baskets, 5)
