@@ -207,11 +207,6 @@ def fn_random(spark, d):
 def txt_sweep(spark, d):
     """Candidate pairs and pairs found by banded signatures for several numbers of bands, beside the exact number of pairs over 0.8."""
     docs = table(spark, d, "documents")
-    sets = T.shingled(docs).persist()
     exact = T.pair_counts(docs.select(F.col("doc_id").alias("id"), "text"), 0.8).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    sigs, out = T.signatures(sets, 20).persist(), []
-    for bands in (4, 5, 10):
-        pairs = T.lsh(sigs, 20, 0.0, bands)
-        got = pairs.agg(F.count("*").alias("candidates"), F.coalesce(F.sum((F.col("similarity") >= 0.8).cast("long")), F.lit(0)).alias("found")).first()
-        out.append((bands, got["candidates"], got["found"], exact))
-    return spark.createDataFrame(out, "bands int, candidates long, found long, exact long")
+    counted = T.band_counts(T.signature_classes(docs, 20), 20, 0.8, (4, 5, 10))
+    return spark.createDataFrame([(b, *n, exact) for b, n in counted.items()], "bands int, candidates long, found long, exact long")

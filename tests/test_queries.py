@@ -1,6 +1,7 @@
 """Every query that SQL can express equals its DuckDB twin; the others hold their invariants."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,52 @@ def test_copies_are_counted_and_pairs_found_over_all_sizes(spark):
     assert all(want[p] == j for p, j in got.items()) and sum(a in copies for a, _ in got) == len(copies) - 1
 
 
+def test_bands_are_counted_as_their_pairs(spark, monkeypatch):
+    """Buckets of few rows, copies, near copies and signatures with common bands; no pair becomes a row."""
+    rng = np.random.default_rng(3)
+    sigs = rng.integers(0, 6, (250, 20)) + 6 * rng.integers(0, 3, (250, 1))
+    near = np.repeat(rng.integers(0, 2**31 - 1, (3, 20)), 40, 0)
+    for row in near:
+        at = rng.integers(0, 20, rng.integers(0, 7))
+        row[at] = rng.integers(0, 50, len(at))
+    sigs = np.concatenate([sigs, near, near[:30], sigs[:20]])
+    same = sigs[:, None] == sigs[None]
+    up = np.triu(np.ones(same.shape[:2], bool), 1)
+    want = {}
+    for bands in (4, 5, 6, 10):
+        own = np.add.reduceat(sigs, np.arange(0, 20, -(-20 // bands)), 1)
+        met = (own[:, None] == own[None]).any(2) & up
+        want[bands] = int(met.sum()), int((met & (same.sum(2) / 20 >= 0.8)).sum())
+    classes = spark.createDataFrame([(x.astype("<i4").tobytes(),) for x in sigs], "sig binary").groupBy("sig").agg(F.count("*").alias("w"))
+    monkeypatch.setattr(S, "BUCKET", 100)
+    assert S.band_counts(classes, 20, 0.8, (4, 5, 6, 10)) == want
+    assert S.band_counts(classes, 20, 0.05, (4,))[4][1] > 0 and S.band_counts(classes.where("w < 0"), 20, 0.8, (4,)) == {4: (0, 0)}
+    with pytest.raises(ValueError):
+        S.band_counts(classes, 20, 0.0, (4,))
+    monkeypatch.setattr(S, "COMPARED", 5000)  # some 60 pairs at once
+    pieces = [slice(a, a + 4) for a in range(0, 20, 4)]
+    equal = np.stack([same[:, :, x].all(2) for x in pieces], 2)
+    for first in range(4):
+        met = sorted((min(p), max(p)) for x, y in S._close(sigs, pieces, first, 2) for p in zip(x.tolist(), y.tolist(), strict=True))
+        assert met == [tuple(p) for p in np.argwhere((equal.sum(2) >= 2) & (equal.argmax(2) == first) & up).tolist()]
+
+
+def test_sweep_counts_what_lsh_joins_and_reads_wide_characters(spark, sf, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    sigs = S.signatures(S.shingled(docs), 20)
+    for r in registry.QUERIES["txt_sweep"](spark, sf).collect():
+        pairs = [x["similarity"] for x in S.lsh(sigs, 20, 0.0, r["bands"]).collect()]
+        assert (r["candidates"], r["found"]) == (len(pairs), sum(x >= 0.8 for x in pairs))
+    rng = np.random.default_rng(5)
+    wide = ["".join(map(chr, rng.choice([*range(97, 123), 0x1F600, 0x1F601, 0x10FFFF], n))) for n in (0, 5, 6, 40, 300)]
+    many = ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, n))) for n in (9000, 3000, 3000)]
+    for texts in (wide + many, many + wide, [*many, "".join(wide) * 3]):
+        assert all(np.array_equal(x, S._codes(y, 5)) for x, y in zip(S._Coder(5)(texts), texts, strict=True))
+    spark.createDataFrame([(i, x) for i, x in enumerate([None, "", wide[4], wide[4], wide[4][:-1] + "!"])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(S, "lsh", None)  # its pairs are rows
+    assert {tuple(r)[1:] for r in registry.QUERIES["txt_sweep"](spark, str(tmp_path)).collect()} == {(3, 3, 3)}
+
+
 def test_pairs_of_texts_equal_pairs_of_shingles(spark):
     base = "naïve words of a text, lines\nand more; " * 3
     texts = [base + str(i) * (i % 4) for i in range(12)] + [base, "", "abcde", "abcdef", "abcdef", None]
