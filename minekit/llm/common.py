@@ -166,6 +166,12 @@ def tokens(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     return np.bincount(rows, minlength=len(texts)), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """np.unique of whole numbers by sorting, which takes a fraction of its time."""
+    out = np.sort(values)
+    return out[np.concatenate([np.ones(min(1, len(out)), bool), out[1:] != out[:-1]])]
+
+
 def word_hashes(words: pa.Array) -> np.ndarray:
     """64-bit hashes of distinct words: of up to LONG bytes by arrays, of longer ones one by one."""
     words = words.cast(pa.large_binary())

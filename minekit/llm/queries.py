@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langzip, mainarticle, mixing, mpegaudio, neardup, ngramlm, ordermin, pieces, sharding, toxicity
-from .common import fold
+from .common import fold, written
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +21,13 @@ def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(text, toxic) of the labelled documents that may teach: remainder of crc32 by 5 not 0.
 
-    The labelled ids are sampled before the join, so that the side sent to every task is bounded.
+    All of them: many labels are not sent to every task but joined by a shuffle, whose result is written, as it is read several times.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col("toxic").isin(0, 1) & (fold("doc_id", 5) != 0)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     n = labels.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("labels")), F.lit(2**53)) / F.lit(float(2**53))
-    return docs.select("doc_id", "text").join(F.broadcast(labels.where(draw < toxicity.SAMPLE_ROWS / max(1, n))), "doc_id").select("text", "toxic")
+    few = n <= neardup.BROADCAST_IDS
+    found = docs.select("doc_id", "text").join(F.broadcast(labels) if few else labels, "doc_id").select("text", "toxic")
+    return found if few else written(found, "labelled")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

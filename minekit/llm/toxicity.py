@@ -4,12 +4,12 @@ A suspicious token (leetspeak, repeated letters, separators between letters) and
 pieces of words spaced out over tokens become a lattice: each character may stand for itself
 or, at a cost, for the letters it imitates, a separator may be dropped, a run of one character
 may be shorter, a space may be kept as the end of a word or be dropped. A character trigram
-model trained on the sample weighs the paths, and Viterbi decoding gives the restored words.
+model trained on the labelled texts weighs the paths, and Viterbi decoding gives the restored words.
 Tokens with a single path are taken as they are, which is what decoding would give. Marks at
 the ends of a token may be letters or not: it is read with and without them. Restored words
 and their prefixes carry weights: lower confidence bounds of their log odds in labelled toxic
 against clean documents. A document is as toxic as its worst word, on a logistic scale fitted
-across two halves of the sample.
+across two halves of the labelled texts.
 """
 
 from __future__ import annotations
@@ -26,10 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_slices, fresh, give_back, slices, tokens
+from .common import bounded_batches, by_slices, distinct, fresh, give_back, slices, tokens
 
-#: Labelled rows drawn (expected): what the driver and the workers hold of a fit is bounded by it.
-SAMPLE_ROWS = 20_000
 #: Words whose weight a worker remembers; letters of a token that may be a piece of a word.
 MEMO, PIECE = 200_000, 4
 #: Letters of the longest word looked for inside a run of spaced letters; cost (nats) of keeping a space in it.
@@ -308,54 +306,90 @@ def _counts(df: DataFrame, per_slice, columns: str) -> DataFrame:
     return made.groupBy(names[0]).agg(*[F.sum(c).alias(c) for c in names[1:]])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Learns from rows with a text and a label 0 or 1.
+def _trigrams(texts: pa.Array, marks: np.ndarray) -> dict:
+    """Documents that have a plain word, summed by the trigrams of the word."""
+    read = Texts(texts)
+    wide = max(1, len(read.words))
+    documents = distinct(read.rows * wide + read.codes) % wide  # a word once a document
+    kept, times = [], []
+    for w, c in zip(read.words, np.bincount(documents, minlength=len(read.words)).tolist(), strict=True):
+        w = w if w.isalpha() else trimmed(w)
+        if w.isdigit() or w.isalpha() and not _SUSPECT.search(w):
+            kept.append(f"^^{w}$")
+            times.append(c)
+    if not kept:
+        return {}
+    points = np.frombuffer("".join(kept).encode("utf-32-le"), np.uint32).astype(np.int64)
+    sizes = np.fromiter(map(len, kept), np.int64, len(kept))
+    last = np.cumsum(sizes) - 1
+    start = np.ones(len(points), bool)
+    start[last] = start[last - 1] = False
+    at = np.flatnonzero(start)
+    grams = points[at] << 42 | points[at + 1] << 21 | points[at + 2]
+    order = np.argsort(grams)
+    grams, n = grams[order], np.repeat(times, sizes - 2)[order]
+    first = np.flatnonzero(np.diff(grams, prepend=-1))
+    names = [chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF) for g in grams[first].tolist()]
+    return {k: [v] for k, v in zip(names, np.add.reduceat(n, first).tolist(), strict=True)}
+
+
+def _marked(tri: dict[str, int], wanted: frozenset[str] | None = None) -> Callable[[pa.Array, np.ndarray], dict]:
+    """A function that counts the documents of each of the four marks that have a feature, one of wanted if that is given."""
+    made: list[ToxicityModel] = []  # in the worker, once a task
+    memo: dict[str, tuple[str, ...]] = {}
+
+    def own(word: str, model: ToxicityModel) -> tuple[str, ...]:
+        found = memo.get(word)
+        if found is None:
+            if wanted is None:
+                found = tuple(f for w in readings(word, model.chars) for f in features(w))
+            else:
+                found = () if model.harmless(word) else tuple(f for w in readings(word, model.chars) for f in features(w) if f in wanted)
+            if len(memo) > MEMO:
+                memo.clear()
+            memo[word] = found
+        return found
 
-    At most about sample_rows rows, drawn by a hash of the text, are read, each whole; features and
-    trigrams are counted on the executors, and the driver gets the trigrams and what occurs in
-    MIN_DOCS toxic documents or more, which the number of rows bounds. Without toxic or without
-    clean rows every score is close to 0. Repeated rows are drawn all or none.
+    def per_slice(texts: pa.Array, marks: np.ndarray) -> dict:
+        if not made:
+            made.append(ToxicityModel(CharModel(tri), dict.fromkeys(wanted or (), 1.0)))
+        model, read, ids = made[0], Texts(texts), {}
+        number = lambda f: ids.setdefault(f, len(ids))
+        lists = [[number(f) for f in own(w, model)] for w in read.words]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat, starts = np.array([f for x in lists for f in x], np.int64), np.cumsum(sizes) - sizes
+        wide = max(1, len(lists))
+        pairs = distinct(read.rows * wide + read.codes)
+        rows, codes = pairs // wide, pairs % wide
+        times = sizes[codes]
+        have = flat[np.repeat(starts[codes] - (np.cumsum(times) - times), times) + np.arange(times.sum())] if len(flat) else flat
+        rows = np.repeat(rows, times)
+        more = [(row, number(f)) for row, run in read.runs for w in decode(run, model.chars).split(" ") for f in features(w) if wanted is None or f in wanted]
+        if more:
+            rows, have = (np.concatenate([x, np.array(y, np.int64)]) for x, y in zip((rows, have), zip(*more, strict=True), strict=True))
+        pairs = distinct(rows * max(1, len(ids)) + have)
+        counted = np.bincount(pairs % max(1, len(ids)) * 4 + marks[pairs // max(1, len(ids))], minlength=4 * len(ids)).reshape(-1, 4)
+        return {f: v for f, v in zip(ids, counted.tolist(), strict=True) if any(v)}
+
+    return per_slice
+
+
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+    """Learns from all rows with a text and a label 0 or 1, each whole; labelled is read several times.
+
+    Features and trigrams are counted on the executors. Features are counted in toxic documents first; those in MIN_DOCS
+    of them or more, which alone can have a weight, are then looked for in the clean ones. The driver gets these and the
+    trigrams. Without toxic or without clean rows every score is close to 0.
     """
     rows = bounded_batches(labelled).where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
-    n = rows.count()
-    draw = F.pmod(F.xxhash64("text"), F.lit(2**53)) / F.lit(float(2**53))
     half = F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2)).cast("int")
     # y: label + 2 * half
-    drawn = rows.where(draw < min(1.0, sample_rows / max(1, n))).select("text", (F.col("y") + 2 * half).alias("y")).persist()
-
-    def trigrams(texts: pa.Array, marks: np.ndarray) -> dict:
-        out: Counter = Counter()
-        read = Texts(texts)
-        documents = np.unique(read.rows * len(read.words) + read.codes) % max(1, len(read.words))  # a word once a document
-        for w, c in zip(read.words, np.bincount(documents, minlength=len(read.words)).tolist(), strict=True):
-            w = trimmed(w)
-            if w.isdigit() or w.isalpha() and not _SUSPECT.search(w):
-                framed = f"^^{w}$"
-                for i in range(len(framed) - 2):
-                    out[framed[i : i + 3]] += c
-        return {k: [v] for k, v in out.items()}
-
-    tri = {r["gram"]: r["n"] for r in _counts(drawn, trigrams, "gram n").collect()}
-
-    def marked(texts: pa.Array, marks: np.ndarray) -> dict:
-        """Documents of each of the four marks that have a feature."""
-        chars, read, out = CharModel(tri), Texts(texts), {}
-        by_text: list[set[str]] = [set() for _ in read.counts]
-        known = [[f for w in readings(x, chars) for f in features(w)] for x in read.words]
-        for row, code in zip(read.rows.tolist(), read.codes.tolist(), strict=True):
-            by_text[row].update(known[code])
-        for row, run in read.runs:
-            by_text[row].update(f for w in decode(run, chars).split(" ") for f in features(w))
-        for found, y in zip(by_text, marks.tolist(), strict=True):
-            for f in found:
-                v = out.get(f)
-                if v is None:
-                    v = out[f] = [0, 0, 0, 0]
-                v[y] += 1
-        return out
-
-    counted = _counts(drawn, marked, "feature y0 y1 y2 y3").where(F.col("y1") + F.col("y3") >= MIN_DOCS)
-    counts = {r["feature"]: ((r["y0"], r["y2"]), (r["y1"], r["y3"])) for r in counted.collect()}
+    drawn = rows.select("text", (F.col("y") + 2 * half).alias("y"))
+    tri = {r["gram"]: r["n"] for r in _counts(drawn, _trigrams, "gram n").collect()}
+    names = "feature y0 y1 y2 y3"
+    toxic = {r["feature"]: (r["y1"], r["y3"]) for r in _counts(drawn.where("y % 2 = 1"), _marked(tri), names).where(F.col("y1") + F.col("y3") >= MIN_DOCS).collect()}
+    clean = {r["feature"]: (r["y0"], r["y2"]) for r in _counts(drawn.where("y % 2 = 0"), _marked(tri, frozenset(toxic)), names).collect()} if toxic else {}
+    counts = {f: (clean.get(f, (0, 0)), v) for f, v in toxic.items()}
     sizes = {r["y"]: r["count"] for r in drawn.groupBy("y").count().collect()}
 
     def weights(halves: tuple[int, ...]) -> dict[str, float]:
@@ -370,7 +404,6 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", s
 
     model = ToxicityModel(CharModel(tri), weights((0, 1)))
     if not model.weights or not sum(sizes.get(y, 0) for y in (0, 2)):
-        drawn.unpersist()
         return model
     of_half = weights((0,)), weights((1,))
 
@@ -387,29 +420,31 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", s
 
         return run
 
-    points = [(r["e"], r["y"] % 2) for r in drawn.mapInArrow(by_slices("text", judge), "e double, y int").collect()]
-    drawn.unpersist()
-    model.slope, model.bias = _logistic(np.array([p[0] for p in points]), np.array([p[1] for p in points], float))
+    judged = drawn.mapInArrow(by_slices("text", judge), "e double, y int").groupBy("e", (F.col("y") % 2).alias("y")).count()
+    e, y, n = np.array(sorted(map(tuple, judged.collect())), float).T
+    model.slope, model.bias = _logistic(e, y, n)
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (0 at least) and bias of a penalised logistic fit: Newton steps, halved until the loss falls.
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope (0 at least) and bias of a penalised logistic fit: Newton steps, halved until the loss falls; n: how often each point occurs.
 
     x is standardised first and the penalty keeps the slope finite where x parts the classes wholly.
     """
-    mean, scale = x.mean(), x.std() or 1.0
+    n = np.ones_like(x) if n is None else n
+    mean = np.average(x, weights=n)
+    scale = np.sqrt(np.average((x - mean) ** 2, weights=n)) or 1.0
     design, beta, penalty = np.stack([(x - mean) / scale, np.ones_like(x)], 1), np.zeros(2), np.array([0.5, 1e-4])
 
     def loss(b: np.ndarray) -> float:
         z = design @ b
-        return float(np.logaddexp(0, z).sum() - y @ z + penalty @ (b * b) / 2)
+        return float(n @ np.logaddexp(0, z) - (n * y) @ z + penalty @ (b * b) / 2)
 
     now = loss(beta)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
-        grad = design.T @ (p - y) + penalty * beta
-        hess = (design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty)
+        grad = design.T @ (n * (p - y)) + penalty * beta
+        hess = (design * (n * p * (1 - p))[:, None]).T @ design + np.diag(penalty)
         step, by = np.linalg.solve(hess, grad), 1.0
         while by > 1e-8 and loss(beta - by * step) > now:
             by /= 2

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from minekit.llm import common, eliasfano, langzip, mainarticle, mixing, mpegaudio, neardup, ngramlm, ordermin, pieces, sharding, toxicity
+from minekit.llm import common, eliasfano, langzip, mainarticle, mixing, mpegaudio, neardup, ngramlm, ordermin, pieces, queries, sharding, toxicity
 from minekit.llm.common import tokens
 from minekit.llm.components import components
 from minekit.llm.queries import PIECE_MODEL
@@ -89,6 +89,24 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.score(frame(spark, texts), none).collect()} == {0}
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, tmp_path, monkeypatch):
+    """Words in three toxic documents of many are learnt, counts are those of all rows, and no label is lost on the way."""
+    rows = [(f"plain words of document {i}", 0) for i in range(40_000)] + [(f"document {i} of grumblix{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}", 1) for i in range(100) for _ in range(3)]
+    df = spark.createDataFrame(rows, "text string, toxic int").repartition(8)
+    model = toxicity.fit(df)
+    assert sum(f.startswith("=grumblix") for f in model.weights) == 100
+    assert model.chars.tri["^^p"] == 40_000 and model.chars.tri["^^g"] == 300 and model.chars.tri["nt$"] == 40_300
+    docs = df.withColumn("doc_id", F.monotonically_increasing_id())
+    docs.select("doc_id", "toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    labels = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    docs = labels.select("doc_id", F.col("doc_id").cast("string").alias("text"))
+    want = labels.where(common.fold("doc_id", 5) != 0).count()
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(neardup, "BROADCAST_IDS", most)
+        got = queries.labelled(spark, docs, str(tmp_path))
+        assert got.count() == want == got.select("text").distinct().count() and got.columns == ["text", "toxic"]
+
+
 @pytest.mark.parametrize("n", [40, 20_000])
 def test_scale_of_parted_classes(n):
     """Evidence that parts the classes wholly gives a threshold between them, however many rows there are."""
