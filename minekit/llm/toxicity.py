@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass, field
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -183,27 +185,76 @@ def features(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:k] for k in PREFIXES if len(word) > k)] if len(word) > 1 else []
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Whether str.isalpha holds, by code point; made once a worker."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def points(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all words in a row, the number of each word's)."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    text = words.buffers()[2][offsets[0] : offsets[-1]].to_pybytes().decode() if offsets[-1] > offsets[0] else ""
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32), pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def shape(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each word whether str.isalpha holds, and whether besides nothing in it is suspicious: _SUSPECT, by arrays."""
+    at, sizes = points(words)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    odd, marked = np.zeros((2, len(sizes)), bool)
+    odd[row[~_letters()[at]]] = True
+    alpha = ~odd & (sizes > 0)
+    near = row[1:] == row[:-1]
+    twice = near & (at[1:] == at[:-1])
+    marked[row[2:][twice[1:] & twice[:-1]]] = True
+    marked[row[1:][twice & (at[1:] == ord("v")) | near & (at[:-1] == ord("p")) & (at[1:] == ord("h"))]] = True
+    marked[row[at == ord("µ")]] = True  # the one suspicious character that is a letter
+    return alpha, alpha & ~marked
+
+
 class Texts:
     """Lower-cased texts by their words: counts and codes by text, the distinct words, and the runs of spaced letters (text, run)."""
 
     def __init__(self, texts: pa.Array) -> None:
-        self.counts, self.codes, words = tokens(pc.utf8_lower(fresh(texts)), lower=False)
-        self.words: list[str] = words.to_pylist()
+        self.counts, self.codes, self.words = tokens(pc.utf8_lower(fresh(texts)), lower=False)
         self.rows = np.repeat(np.arange(len(self.counts)), self.counts)
-        self.runs: list[tuple[int, str]] = []
-        bare = [w.strip(_QUOTES) or w for w in self.words]
-        self.lengths = np.fromiter((len(w) for w in bare), np.int64, len(bare))[self.codes]
-        single = self.lengths == 1
+
+    @cached_property
+    def raw(self) -> pa.Array:
+        return pc.utf8_trim(self.words, characters=_QUOTES)
+
+    @cached_property
+    def bare(self) -> pa.Array:
+        """The words without quotes, as they are where nothing else is in them."""
+        return pc.if_else(pc.equal(self.raw, ""), self.words, self.raw)
+
+    @cached_property
+    def lengths(self) -> np.ndarray:
+        return pc.utf8_length(self.bare).to_numpy(zero_copy_only=False)[self.codes]
+
+    @cached_property
+    def runs(self) -> list[tuple[int, str]]:
+        single, out = self.lengths == 1, []
         if single.any():
             edge = np.flatnonzero(np.diff(np.concatenate([[0], np.where(single, self.rows + 1, 0), [0]])))
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
                 if single[lo] and hi - lo >= 3:
-                    self.runs.append((int(self.rows[lo]), " ".join([bare[c] for c in self.codes[lo:hi]])))
-        self.bare = bare
+                    out.append((int(self.rows[lo]), " ".join(self.bare.take(pa.array(self.codes[lo:hi])).to_pylist())))
+        return out
 
-    def joined(self, heads: set[str], known: Callable[[str], float]) -> Iterator[tuple[int, float, list[str]]]:
-        """(text, value, parts) of two or three neighbouring short words that make a known word; the first must be one of heads, and each different sequence is looked up once."""
-        head = np.fromiter((w in heads for w in self.bare), bool, len(self.bare))[self.codes]
+    def known(self, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
+        """(word, feature) of the words' known features, by numbers and in no order; words may have one twice."""
+        plain = shape(self.raw)[1]
+        at, odd = np.flatnonzero(plain), np.flatnonzero(~plain)
+        word, have = model.of_plain(self.raw.take(pa.array(at)))
+        found = [(i, f) for i, w in zip(odd.tolist(), self.words.take(pa.array(odd)).to_pylist(), strict=True) for f in model.own(w)]
+        more = np.array(found, np.int64).reshape(-1, 2)
+        return np.concatenate([at[word], more[:, 0]]), np.concatenate([have, more[:, 1]])
+
+    def joined(self, model: ToxicityModel, least: np.ndarray) -> Iterator[tuple[int, float, list[str]]]:
+        """(text, value, parts) of two or three neighbouring short words that make a known word of more weight than the text's in least; each different sequence is looked up once."""
+        head = pc.is_in(self.bare, value_set=model.heads).to_numpy(zero_copy_only=False)[self.codes]
         short = self.lengths <= PIECE
         two = short[:-1] & short[1:] & (self.rows[:-1] == self.rows[1:])
         for k, at in ((2, np.flatnonzero(two & head[:-1])), (3, np.flatnonzero(two[:-1] & two[1:] & head[:-2]))):
@@ -213,12 +264,21 @@ class Texts:
             for j in range(1, k):
                 key = key * len(self.words) + self.codes[at + j]
                 key = np.unique(key, return_inverse=True)[1]  # dense again, so that a longer sequence fits a number
-            unique, first, back = np.unique(key, return_index=True, return_inverse=True)
-            columns = [[self.bare[c] for c in self.codes[at[first] + j].tolist()] for j in range(k)]
-            values = np.fromiter(map(known, map("".join, zip(*columns, strict=True))), np.float64, len(unique))
-            hits = np.flatnonzero(values[back] > 0)
-            for i in hits.tolist():
-                yield int(self.rows[at[i]]), float(values[back[i]]), [x[back[i]] for x in columns]
+            first, back = np.unique(key, return_index=True, return_inverse=True)[1:]
+            columns = [self.bare.take(pa.array(self.codes[at[first] + j])) for j in range(k)]
+            found = _found(_glued(*columns), model.whole)
+            values = np.where(found >= 0, model.values[model.whole_at[found]] if len(model.whole_at) else 0.0, 0.0)
+            for i in np.flatnonzero(values[back] > least[self.rows[at]]).tolist():
+                yield int(self.rows[at[i]]), float(values[back[i]]), [x[back[i]].as_py() for x in columns]
+
+
+def _found(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where each word stands in among; -1: nowhere."""
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy(zero_copy_only=False)
+
+
+def _glued(*parts: pa.Array | str) -> pa.Array:
+    return pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in (*parts, "")))
 
 
 @dataclass
@@ -229,34 +289,68 @@ class ToxicityModel:
     bias: float = -20.0
 
     def __post_init__(self) -> None:
-        self.memo: dict[str, float] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.restored: dict[str, bool] = {}
+        self.number = {f: i for i, f in enumerate(self.weights)}
+        self.values = np.fromiter(self.weights.values(), np.float64, len(self.weights))
+        strings = lambda words: pa.array(words, pa.large_string())
+        whole, ahead = ({f[1:]: i for f, i in self.number.items() if f[0] == sign} for sign in "=^")
+        self.whole, self.whole_at = strings(list(whole)), np.fromiter(whole.values(), np.int64, len(whole))
+        self.ahead, self.ahead_at = strings(list(ahead)), np.fromiter(ahead.values(), np.int64, len(ahead))
+        self.sorted = sorted(whole), sorted(ahead)
         #: What the first of several short words that make a known one can be.
-        self.heads = {f[1 : 1 + k] for f in self.weights if f[0] == "=" for k in range(1, PIECE + 1)}
+        self.heads = strings(sorted({w[:k] for w in whole for k in range(1, PIECE + 1)}))
         #: How words of a feature begin: a word that begins otherwise has none.
-        self.begins = {f[1 : 1 + PREFIXES[0]] for f in self.weights}
-
-    def weight(self, word: str) -> float:
-        """The greatest weight of a raw token's features, 0 at least."""
+        self.begins = strings(sorted({f[1 : 1 + PREFIXES[0]] for f in self.weights}))
+
+    def of_plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(word, feature) by numbers of words that are read as they are."""
+        near = np.flatnonzero(pc.is_in(pc.utf8_slice_codeunits(words, 0, PREFIXES[0]), value_set=self.begins).to_numpy(zero_copy_only=False))
+        words = words.take(pa.array(near))
+        sizes, pairs = pc.utf8_length(words).to_numpy(zero_copy_only=False), []
+        for k in (0, *PREFIXES):
+            at = np.flatnonzero(sizes > max(k, 1))
+            some = words.take(pa.array(at))
+            found = _found(pc.utf8_slice_codeunits(some, 0, k), self.ahead) if k else _found(some, self.whole)
+            hits = np.flatnonzero(found >= 0)
+            pairs.append((near[at[hits]], (self.ahead_at if k else self.whole_at)[found[hits]]))
+        return tuple(map(np.concatenate, zip(*pairs, strict=True)))
+
+    def own(self, word: str) -> tuple[int, ...]:
+        """The known features, by number, of a raw token's readings."""
         found = self.memo.get(word)
         if found is None:
-            get = self.weights.get
-            found = 0.0
-            for w in () if self.harmless(word) else readings(word, self.chars):
-                if len(w) > 1 and w[: PREFIXES[0]] in self.begins:
-                    found = max(found, get("=" + w, 0.0), *[get("^" + w[:k], 0.0) for k in PREFIXES if len(w) > k])
+            number = self.number
+            found = tuple({number[f] for f in self.told(word) if f in number})
             if len(self.memo) > MEMO:
                 self.memo.clear()
             self.memo[word] = found
         return found
 
-    def harmless(self, word: str) -> bool:
-        """Whether each reading begins with the token's own first letters and no feature begins so: there is nothing to decode for."""
+    def told(self, word: str) -> list[str]:
+        """Features of a token's readings, among them all known ones.
+
+        Every reading begins with the letters before the first suspicious character, as each of them has one path and no
+        mark is a letter. Where no known feature goes on from there, these letters tell all, and nothing is decoded.
+        """
         raw = word.strip(_QUOTES)
-        head = raw[: PREFIXES[0]]
-        if len(head) < PREFIXES[0] or head in self.begins or not head.isalpha() or _SUSPECT.search(head):
-            return False
-        last, after = head[-1], raw[PREFIXES[0] : PREFIXES[0] + 2]  # neither a pair nor a run leads out of the head
-        return last + after[:1] not in PAIRS and after != last * 2 and not (head[-2] == last and after[:1] == last)
+        first = _SUSPECT.search(raw)
+        head = raw[: first.start()] if first else ""
+        if head.isalpha() and not self.goes_on(head):
+            if trimmed(word) == head:
+                return features(head)
+            if "=" + head not in self.number:
+                return ["^" + head[:k] for k in PREFIXES if len(head) > k]
+        return [f for w in readings(word, self.chars) for f in features(w)]
+
+    def goes_on(self, head: str) -> bool:
+        """Whether a longer word that begins with head can have a known feature that head itself doesn't tell."""
+        whole, ahead = self.sorted
+        i = bisect_right(whole, head)
+        if i < len(whole) and whole[i].startswith(head):
+            return True
+        i = bisect_left(ahead, head) if len(head) <= PREFIXES[-1] else len(ahead)
+        return i < len(ahead) and ahead[i].startswith(head)
 
     def spaced(self, run: str) -> float:
         """The greatest weight of the words that a run of spaced letters or pieces is read as, 0 at least."""
@@ -265,19 +359,31 @@ class ToxicityModel:
         inside = (get("=" + letters[i : i + k], 0.0) for i in range(len(letters)) for k in range(PIECE, min(LONGEST, len(letters) - i) + 1))
         return max(max((get(f, 0.0) for w in words for f in features(w)), default=0.0), max(inside, default=0.0))
 
+    def makes(self, parts: list[str]) -> bool:
+        """Whether the neighbouring words are read as one."""
+        text = " ".join(parts)
+        found = self.restored.get(text)
+        if found is None:
+            if len(self.restored) > MEMO:
+                self.restored.clear()
+            found = self.restored[text] = "".join(parts) in decode(text, self.chars).split(" ")
+        return found
+
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """The worst word's weight of each text: 0 for null, empty and harmless ones."""
         read = Texts(texts)
         out = np.zeros(len(read.counts))
         if len(read.codes):
-            own = np.fromiter((self.weight(w) for w in read.words), np.float64, len(read.words))
+            own = np.zeros(len(read.words))
+            word, have = read.known(self)
+            np.maximum.at(own, word, self.values[have])
             starts = np.concatenate([[0], np.cumsum(read.counts)[:-1]])
             full = read.counts > 0
             out[full] = np.maximum.reduceat(own[read.codes], starts[full])
             for row, run in read.runs:
                 out[row] = max(out[row], self.spaced(run))
-            for row, w, parts in read.joined(self.heads, lambda x: self.weights.get("=" + x, 0.0)):
-                if w > out[row] and "".join(parts) in decode(" ".join(parts), self.chars).split(" "):
+            for row, w, parts in read.joined(self, out):
+                if w > out[row] and self.makes(parts):
                     out[row] = w
         return out
 
@@ -302,8 +408,15 @@ def _counts(df: DataFrame, per_slice, columns: str) -> DataFrame:
         total = None
         give_back()
 
-    made = df.mapInArrow(run, ", ".join([f"{names[0]} string", *(f"{c} bigint" for c in names[1:])]))
-    return made.groupBy(names[0]).agg(*[F.sum(c).alias(c) for c in names[1:]])
+    return _summed(df.mapInArrow(run, _schema(names)), names)
+
+
+def _schema(names: list[str]) -> str:
+    return ", ".join([f"{names[0]} string", *(f"{c} bigint" for c in names[1:])])
+
+
+def _summed(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.groupBy(names[0]).agg(*[F.sum(c).alias(c) for c in names[1:]])
 
 
 def _trigrams(texts: pa.Array, marks: np.ndarray) -> dict:
@@ -311,21 +424,21 @@ def _trigrams(texts: pa.Array, marks: np.ndarray) -> dict:
     read = Texts(texts)
     wide = max(1, len(read.words))
     documents = distinct(read.rows * wide + read.codes) % wide  # a word once a document
-    kept, times = [], []
-    for w, c in zip(read.words, np.bincount(documents, minlength=len(read.words)).tolist(), strict=True):
-        w = w if w.isalpha() else trimmed(w)
-        if w.isdigit() or w.isalpha() and not _SUSPECT.search(w):
-            kept.append(f"^^{w}$")
-            times.append(c)
-    if not kept:
+    times = np.bincount(documents, minlength=len(read.words))
+    bare = pc.utf8_trim(read.words, characters=_MARKS)
+    alpha, plain = shape(bare)
+    rest = np.flatnonzero(~alpha)
+    more = [(i, t) for i, w in zip(rest.tolist(), read.words.take(pa.array(rest)).to_pylist(), strict=True) if (t := trimmed(w)).isdigit() or t.isalpha() and not _SUSPECT.search(t)]
+    kept = pa.concat_arrays([bare.filter(pa.array(plain)), pa.array([t for _, t in more], pa.large_string())])
+    if not len(kept):
         return {}
-    points = np.frombuffer("".join(kept).encode("utf-32-le"), np.uint32).astype(np.int64)
-    sizes = np.fromiter(map(len, kept), np.int64, len(kept))
-    last = np.cumsum(sizes) - 1
-    start = np.ones(len(points), bool)
+    times = times[np.concatenate([np.flatnonzero(plain), np.array([i for i, _ in more], np.int64)])]
+    at, sizes = points(_glued("^^", kept, "$"))
+    at, last = at.astype(np.int64), np.cumsum(sizes) - 1
+    start = np.ones(len(at), bool)
     start[last] = start[last - 1] = False
-    at = np.flatnonzero(start)
-    grams = points[at] << 42 | points[at + 1] << 21 | points[at + 2]
+    start = np.flatnonzero(start)
+    grams = at[start] << 42 | at[start + 1] << 21 | at[start + 2]
     order = np.argsort(grams)
     grams, n = grams[order], np.repeat(times, sizes - 2)[order]
     first = np.flatnonzero(np.diff(grams, prepend=-1))
@@ -333,18 +446,15 @@ def _trigrams(texts: pa.Array, marks: np.ndarray) -> dict:
     return {k: [v] for k, v in zip(names, np.add.reduceat(n, first).tolist(), strict=True)}
 
 
-def _marked(tri: dict[str, int], wanted: frozenset[str] | None = None) -> Callable[[pa.Array, np.ndarray], dict]:
-    """A function that counts the documents of each of the four marks that have a feature, one of wanted if that is given."""
-    made: list[ToxicityModel] = []  # in the worker, once a task
+def _marked(tri: dict[str, int]) -> Callable[[pa.Array, np.ndarray], dict]:
+    """A function that counts the documents of each of the four marks that have a feature."""
+    made: list[CharModel] = []  # in the worker, once a task
     memo: dict[str, tuple[str, ...]] = {}
 
-    def own(word: str, model: ToxicityModel) -> tuple[str, ...]:
+    def own(word: str) -> tuple[str, ...]:
         found = memo.get(word)
         if found is None:
-            if wanted is None:
-                found = tuple(f for w in readings(word, model.chars) for f in features(w))
-            else:
-                found = () if model.harmless(word) else tuple(f for w in readings(word, model.chars) for f in features(w) if f in wanted)
+            found = tuple(f for w in readings(word, made[0]) for f in features(w))
             if len(memo) > MEMO:
                 memo.clear()
             memo[word] = found
@@ -352,28 +462,55 @@ def _marked(tri: dict[str, int], wanted: frozenset[str] | None = None) -> Callab
 
     def per_slice(texts: pa.Array, marks: np.ndarray) -> dict:
         if not made:
-            made.append(ToxicityModel(CharModel(tri), dict.fromkeys(wanted or (), 1.0)))
-        model, read, ids = made[0], Texts(texts), {}
+            made.append(CharModel(tri))
+        read, ids = Texts(texts), {}
         number = lambda f: ids.setdefault(f, len(ids))
-        lists = [[number(f) for f in own(w, model)] for w in read.words]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat, starts = np.array([f for x in lists for f in x], np.int64), np.cumsum(sizes) - sizes
-        wide = max(1, len(lists))
-        pairs = distinct(read.rows * wide + read.codes)
-        rows, codes = pairs // wide, pairs % wide
-        times = sizes[codes]
-        have = flat[np.repeat(starts[codes] - (np.cumsum(times) - times), times) + np.arange(times.sum())] if len(flat) else flat
-        rows = np.repeat(rows, times)
-        more = [(row, number(f)) for row, run in read.runs for w in decode(run, model.chars).split(" ") for f in features(w) if wanted is None or f in wanted]
-        if more:
-            rows, have = (np.concatenate([x, np.array(y, np.int64)]) for x, y in zip((rows, have), zip(*more, strict=True), strict=True))
-        pairs = distinct(rows * max(1, len(ids)) + have)
-        counted = np.bincount(pairs % max(1, len(ids)) * 4 + marks[pairs // max(1, len(ids))], minlength=4 * len(ids)).reshape(-1, 4)
+        pairs = np.array([(i, number(f)) for i, w in enumerate(read.words.to_pylist()) for f in own(w)], np.int64).reshape(-1, 2)
+        more = [(row, number(f)) for row, run in read.runs for w in decode(run, made[0]).split(" ") for f in features(w)]
+        counted = _documents(read, pairs[:, 0], pairs[:, 1], more, marks, len(ids))
         return {f: v for f, v in zip(ids, counted.tolist(), strict=True) if any(v)}
 
     return per_slice
 
 
+def _documents(read: Texts, word: np.ndarray, have: np.ndarray, more: list[tuple[int, int]], marks: np.ndarray, n: int) -> np.ndarray:
+    """Documents of each of the four marks that have each of n features: by the words that have them, and more (document, feature)."""
+    order = np.argsort(word, kind="stable")
+    flat, sizes = have[order], np.bincount(word, minlength=len(read.words))
+    starts = np.cumsum(sizes) - sizes
+    some = np.flatnonzero(sizes[read.codes] > 0)
+    wide = max(1, len(read.words))
+    pairs = distinct(read.rows[some] * wide + read.codes[some])
+    rows, codes = pairs // wide, pairs % wide
+    times = sizes[codes]
+    features_of = flat[np.repeat(starts[codes] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+    late = np.array(more, np.int64).reshape(-1, 2)
+    rows, features_of = np.concatenate([np.repeat(rows, times), late[:, 0]]), np.concatenate([features_of, late[:, 1]])
+    pairs = distinct(rows * max(1, n) + features_of)
+    return np.bincount(pairs % max(1, n) * 4 + marks[pairs // max(1, n)], minlength=4 * n).reshape(-1, 4)
+
+
+def _looked_for(df: DataFrame, tri: dict[str, int], wanted: Collection[str], columns: str) -> DataFrame:
+    """Documents of each of the four marks that have each of the wanted features, where there are any."""
+    names, wanted = columns.split(), sorted(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, total = None, np.zeros((len(wanted), 4), np.int64)
+        for batch in batches:
+            model = model or ToxicityModel(CharModel(tri), dict.fromkeys(wanted, 1.0))
+            for piece in slices(batch, "text"):
+                read = Texts(piece.column("text"))
+                more = [(row, model.number[f]) for row, run in read.runs for w in decode(run, model.chars).split(" ") for f in features(w) if f in model.number]
+                total += _documents(read, *read.known(model), more, piece.column("y").to_numpy(), len(wanted))
+        some = np.flatnonzero(total.any(1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.string()).take(pa.array(some)), *(pa.array(total[some, j]) for j in range(4))], names=names)
+        model = batch = piece = read = None
+        give_back()
+
+    return _summed(df.mapInArrow(run, _schema(names)), names)
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learns from all rows with a text and a label 0 or 1, each whole; labelled is read several times.
 
@@ -388,7 +525,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -
     tri = {r["gram"]: r["n"] for r in _counts(drawn, _trigrams, "gram n").collect()}
     names = "feature y0 y1 y2 y3"
     toxic = {r["feature"]: (r["y1"], r["y3"]) for r in _counts(drawn.where("y % 2 = 1"), _marked(tri), names).where(F.col("y1") + F.col("y3") >= MIN_DOCS).collect()}
-    clean = {r["feature"]: (r["y0"], r["y2"]) for r in _counts(drawn.where("y % 2 = 0"), _marked(tri, frozenset(toxic)), names).collect()} if toxic else {}
+    clean = {r["feature"]: (r["y0"], r["y2"]) for r in _looked_for(drawn.where("y % 2 = 0"), tri, toxic, names).collect()} if toxic else {}
     counts = {f: (clean.get(f, (0, 0)), v) for f, v in toxic.items()}
     sizes = {r["y"]: r["count"] for r in drawn.groupBy("y").count().collect()}
 

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,36 @@ def test_toxicity_learns_from_every_labelled_row(spark, tmp_path, monkeypatch):
         assert got.count() == want == got.select("text").distinct().count() and got.columns == ["text", "toxic"]
 
 
+def test_toxicity_by_arrays_is_that_of_the_readings(monkeypatch):
+    """Evidence, counts and trigrams are what each word's readings give, and no token is decoded whose first letters tell all."""
+    words = ["idiot", "idiom", "1d10t", "idiot###", "idiomatic$$$", "idiotic%%", "(idiot)", "iiidiot", "\"idiot\"", "ph", "vvhore", "µidiot", "idio", "stupid", "stup!d", "a$$", "…idiot", "été", "étééé", "\u4e2d\u6587idiot", "\U00010428idiot", "555-1710", "\"\"", "idiot-stupid", "x", "idiot\u0301", "\u0663\u0664", "moron.--", "moron.***", "--", "Idiot,"]
+    rng = random.Random(3)
+    words += ["".join(rng.choices("idiotas10$#-.\"vph", k=rng.randint(1, 9))) for _ in range(600)]
+    texts = [*words, None, "", *(" ".join(rng.choices(words, k=5)) for _ in range(100))]
+    chars = toxicity.CharModel({"^^i": 50, "^id": 50, "idi": 50, "dio": 50, "iot": 40, "ot$": 40, "iom": 10, "^^s": 9, "^st": 9, "stu": 9, "tup": 9, "upi": 9, "pid": 9, "id$": 9})
+    weights = {"=idiot": 3.0, "^idio": 1.0, "^idiot": 2.0, "=stupid": 2.5, "=id": 0.3, "^stup": 0.5, "=moron": 0.7, "=\u00e9t\u00e9": 0.2}
+    model = toxicity.ToxicityModel(chars, weights)
+    of = lambda w: {f for x in toxicity.readings(w.lower(), chars) for f in toxicity.features(x)}
+    single = [w for w in words if len(w.strip(toxicity._QUOTES)) != 1]
+    assert model.evidence(pa.array(single)).tolist() == [max((weights.get(f, 0.0) for f in of(w)), default=0.0) for w in single]
+    read = toxicity.Texts(pa.array(texts))
+    plain = toxicity.shape(read.raw)[1].tolist()
+    assert plain == [w.isalpha() and not toxicity._SUSPECT.search(w) for w in read.raw.to_pylist()] and {True, False} == set(plain)
+    got = toxicity._documents(read, *read.known(model), [], np.arange(len(texts)) % 4, len(weights))
+    want = np.zeros_like(got)
+    for i, t in enumerate(texts):
+        for f in {f for w in (t or "").split(" ") for f in of(w)} & set(weights):
+            want[model.number[f], i % 4] += 1
+    assert got.tolist() == want.tolist() and want.any(1).sum() == len(weights)
+    kept = [f"^^{w}$" for w in dict.fromkeys(map(str.lower, words)) for w in [w if w.isalpha() else toxicity.trimmed(w)] if w.isdigit() or w.isalpha() and not toxicity._SUSPECT.search(w)]
+    want = Counter(w[i : i + 3] for w in kept for i in range(len(w) - 2))
+    assert {k: v for k, (v,) in toxicity._trigrams(pa.array([" ".join(words)]), np.zeros(1, int)).items()} == want
+    decoded = []
+    monkeypatch.setattr(toxicity, "decode", lambda text, model, f=toxicity.decode: decoded.append(text) or f(text, model))
+    model.memo.clear()
+    assert model.evidence(pa.array(["idiomatic$$$ idioms### stupor%%% house$$$"])).tolist() == [1.0] and decoded == []
+
+
 @pytest.mark.parametrize("n", [40, 20_000])
 def test_scale_of_parted_classes(n):
     """Evidence that parts the classes wholly gives a threshold between them, however many rows there are."""
