@@ -276,6 +276,26 @@ def test_spectrum_of_several_components(spark, sf):
         G.spectrum(df, most=8)
 
 
+def test_large_components_equal_their_dense_solution(spark):
+    """A piece beyond the dense solver's size: same drops, vectors and clusters, with one component and with several."""
+    import random
+
+    rng = random.Random(2)
+    joined = [(i, j) for i in range(60) for j in range(i + 1, 60) if rng.random() < (0.7 if i // 30 == j // 30 else 0.05)]
+    three = [(i, j) for i in range(60) for j in range(i + 1, 60) if rng.random() < (0.8 if i // 20 == j // 20 else 0.02)]
+    apart = [(u + 100, v + 100) for u, v in three] + [(i, j) for i in range(8) for j in range(i + 1, 8)]
+    ring = [(i, i + 1) for i in range(39)] + [(0, 39)]  # no drop is certain, and eigenvalues are double
+    for edges, gap in ((joined, 2), (three, 3), (apart, 4), (ring, None)):
+        df = spark.createDataFrame(edges, "u long, v long")
+        want = G.eigengap(df).first()[0]
+        assert G.eigengap(df, dense=30).first()[0] == want and gap in (want, None)
+        if gap:
+            one, two = (G.spectrum(df, k, dense=d).toPandas().sort_values("vertex") for d in (4000, 30) for k in (2,))
+            assert np.allclose(abs(one.fiedler @ two.fiedler), 1) and len(set(zip(one.cluster, two.cluster))) == 2
+    lap = G.spectrum(spark.createDataFrame(joined, "u long, v long"), 2, dense=30).toPandas().sort_values("vertex")
+    assert lap.groupby(lap.vertex // 30).cluster.nunique().tolist() == [1, 1]
+
+
 def test_models(spark, sf):
     got = {name: [r.asDict() for r in registry.QUERIES[name](spark, sf).collect()] for name in ("ml_gbdt_residual", "ml_ranker", "ml_mlp", "ml_shap", "ml_automl_cls", "ml_automl_reg", "ml_gbdt_multi", "snk_model", "src_model", "txt_sweep", "fn_random")}
     assert got["ml_gbdt_residual"][0]["loss_after"] <= got["ml_gbdt_residual"][0]["loss_before"]
