@@ -205,6 +205,32 @@ def test_streams_are_read_in_batches(spark, monkeypatch):
     assert len(four) == 4 and sum(r["edges"] for r in four) == 780
 
 
+def test_a_full_reservoir_counts_at_once(spark):
+    """No step an edge where the reservoir holds the stream; repeats, loops and both directions; draws go on behind a fill as without it."""
+    import random
+
+    rng = random.Random(6)
+    edges = [(rng.randrange(-20, 60), rng.randrange(-20, 60)) for _ in range(3000)] + [(2**40, 2**40 + 1), (2**40 + 1, -3), (-3, 2**40)]
+    us, vs = (np.array(x) for x in zip(*edges, strict=True))
+    for improved in (False, True):
+        one, full, wide = Triest(None, improved, local=False), Triest(None, improved, local=False), Triest(None, improved)
+        one.extend(us.tolist(), vs.tolist())
+        full.fill(us, vs, True)
+        wide.fill(us, vs)
+        assert one.estimate == full.estimate == wide.estimate > 0 and one.t == full.t == wide.t and not full.near
+        for m in (3, 100, 700, 5000):
+            step, quick = Triest(m, improved, 4, local=False), Triest(m, improved, 4, local=False)
+            step.extend(us.tolist(), vs.tolist())
+            quick.fill(us[:m], vs[:m])
+            quick.extend(us[m:].tolist(), vs[m:].tolist())
+            assert (step.t, step.tau, step.us, step.vs) == (quick.t, quick.tau, quick.us, quick.vs)
+        df = spark.createDataFrame(sorted({(min(e), max(e)) for e in edges if e[0] != e[1]}), "u long, v long")
+        assert tuple(estimate(df, None, improved).first()) == (0, one.t, one.tau)
+        assert sum(r["edges"] for r in estimate(df, None, improved, streams=3).collect()) == one.t
+    with pytest.raises(ValueError):
+        Triest(3).fill(us[:4], vs[:4])
+
+
 def test_swaps_keep_sizes_and_cut_edges(spark):
     edges = spark.createDataFrame([(i, j) for c in range(4) for i in range(c * 8, c * 8 + 8) for j in range(i + 1, c * 8 + 8)], "u long, v long")
     log = G.swap_partition(edges, rounds=20).toPandas()
