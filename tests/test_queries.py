@@ -51,6 +51,13 @@ def test_logit_outside_zero_and_one_equals_sql(spark, tmp_path):
     assert repr(sorted(map(tuple, registry.QUERIES["fn_logit"](spark, str(tmp_path)).collect()))) == repr(sorted(want))
 
 
+def test_logit_query_clips(spark, tmp_path):
+    values = [0.0, 500.0, 560.21, -1.0, 250.0, None]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = [r["z"] for r in registry.QUERIES["fn_logit"](spark, str(tmp_path)).orderBy("event_id").collect()]
+    assert got == [-16.118096, 16.118096, 16.118096, -16.118096, 0.0, None]
+
+
 def test_exact_pairs_equal_brute_force(spark, sf):
     sets = S.shingled(spark.read.parquet(f"{sf}/documents.parquet"))
     got = {(r["a"], r["b"]) for r in S.exact_pairs(sets, 0.8).collect()}
