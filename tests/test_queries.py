@@ -287,6 +287,11 @@ def test_swaps_hold_no_frame_of_edges_and_count_the_cut(spark, monkeypatch):
     assert got == want
 
 
+def test_jb_run_makes_every_round(spark, sf):
+    log = registry.QUERIES["jb_run"](spark, sf).toPandas()
+    assert log["round"].tolist() == list(range(1000))
+
+
 def test_spectrum_of_several_components(spark, sf):
     """More vertices than one eigensolve takes: components apart, with the eigenvalues of the whole."""
     import numpy as np
