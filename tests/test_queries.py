@@ -142,6 +142,18 @@ def test_pairs_of_texts_equal_pairs_of_shingles(spark):
     assert want == sorted(map(tuple, S.representative_pairs(docs.withColumnRenamed("doc_id", "id"), 0.8).collect())) and (14 + 1, 16, 1.0) in want
 
 
+def test_different_texts_of_one_set_are_all_linked(spark, tmp_path):
+    base = "some words that make a text of some length, "
+    texts = [base + "x1", base + "x2", base + "x3", base + "x1", base[:-1] + "!yz", "other", base + "x2", "quite another text"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sets = [{x[i : i + 5] for i in range(len(x) - 5)} for x in texts]
+    first = {x: texts.index(x) for x in texts}
+    likeness = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(8) for b in range(a + 1, 8) if sets[a] and sets[b]}
+    want = {(a, b): j for (a, b), j in likeness.items() if j > 0.8 and (texts[a] == texts[b] and first[texts[a]] == a or texts[a] != texts[b] and first[texts[a]] == a and first[texts[b]] == b)}
+    got = registry.QUERIES["txt_exact_pairs"](spark, str(tmp_path)).collect()
+    assert {(r["a"], r["b"]): r["jaccard"] for r in got} == want and len(got) == len(want) and (1, 2) in want and (1, 4) in want
+
+
 def test_rules_of_any_consequent(spark):
     baskets = spark.createDataFrame([(b, i) for b in range(10) for i in "xyz"], "basket long, item string")
     sets = A.apriori(baskets, 5)
