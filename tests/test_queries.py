@@ -142,6 +142,19 @@ def test_pairs_of_texts_equal_pairs_of_shingles(spark):
     assert want == sorted(map(tuple, S.representative_pairs(docs.withColumnRenamed("doc_id", "id"), 0.8).collect())) and (14 + 1, 16, 1.0) in want
 
 
+def test_distribution_is_of_all_pairs(spark, sf, monkeypatch):
+    own = [set(r["items"]) for r in S.shingled(spark.read.parquet(f"{sf}/documents.parquet")).collect()]
+    want = {}
+    for i, a in enumerate(own):
+        for b in own[i + 1 :]:
+            at = int(len(a & b) / len(a | b) * 50)
+            want[at] = want.get(at, 0) + 1
+    for size in (8000, 10):
+        monkeypatch.setattr(S, "BLOCK", size)
+        assert {r["bin"]: r["n"] for r in registry.QUERIES["txt_similarity_dist"](spark, sf).collect()} == want
+    assert min(want) < 40 and sum(want.values()) == len(own) * (len(own) - 1) // 2
+
+
 def test_different_texts_of_one_set_are_all_linked(spark, tmp_path):
     base = "some words that make a text of some length, "
     texts = [base + "x1", base + "x2", base + "x3", base + "x1", base[:-1] + "!yz", "other", base + "x2", "quite another text"]
